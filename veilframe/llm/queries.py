@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, mixing
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": lambda spark, d: line_dedup.digest(documents(spark, d)),
+    "op6_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op6_mixing": mixing.SQL,
 }
