@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, mixing
+from . import licenses, line_dedup, mixing, packing
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": lambda spark, d: line_dedup.digest(documents(spark, d)),
     "op6_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op8_license_scan": lambda spark, d: licenses.digest(documents(spark, d)),
+    "op10_best_fit_packing": lambda spark, d: packing.pack(documents(spark, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {
