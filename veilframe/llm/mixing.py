@@ -72,7 +72,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     src = F.when(F.col("source").isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), F.col("source")))
     sized = own_columns(docs, "doc_id", "text", "source").select("doc_id", "source", src.alias("src"), words_in(F.col("text")).alias("size"), exponential_key(F.col("doc_id"), quality(F.col("text"))).alias("key"))
     sized = written(sized, "mix-sizes")
-    rows = sized.join(targets(sized, weights, share, max_epochs), "src")
+    # as a table the targets have a known size: Spark broadcasts them if they are small, without dealing rows out by source
+    rows = sized.join(written(targets(sized, weights, share, max_epochs), "mix-targets"), "src")
     # 1 - exp(-key) rises with the key and lies in [0, 1]: ranges of it are ranges of keys
     rows = rows.withColumn("bucket", F.floor(F.ceil(F.col("n_docs") / BUCKET_ROWS) * (1.0 - F.exp(-F.col("key")))))
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
