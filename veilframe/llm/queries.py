@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, mixing, packing, simhash_dedup
+from . import licenses, line_dedup, mixing, packing, quality, simhash_dedup
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": lambda spark, d: line_dedup.digest(documents(spark, d)),
+    "op2_quality_classifier": lambda spark, d: quality.digest(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op3_simhash_near_dedup": lambda spark, d: simhash_dedup.digest(documents(spark, d)),
     "op6_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op8_license_scan": lambda spark, d: licenses.digest(documents(spark, d)),
