@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, mixing, packing, quality, simhash_dedup
+from . import fingerprints, licenses, line_dedup, mixing, packing, quality, simhash_dedup
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash_near_dedup": lambda spark, d: simhash_dedup.digest(documents(spark, d)),
     "op6_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op8_license_scan": lambda spark, d: licenses.digest(documents(spark, d)),
+    "op9_document_fingerprints": lambda spark, d: fingerprints.digest(documents(spark, d)),
     "op10_best_fit_packing": lambda spark, d: packing.pack(documents(spark, d)),
 }
 
