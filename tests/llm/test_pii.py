@@ -1,0 +1,76 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from veilframe.llm import pii as P
+
+
+def luhn_ok(d):
+    total = 0
+    for k, c in enumerate(reversed(d)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def brute(text):
+    text = text or ""
+    out = []
+    only = lambda m: re.sub("[^0-9]", "", m)
+    for n, (name, pattern, good) in enumerate((
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(only(m)) <= 19 and luhn_ok(only(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(only(m)) <= 15),
+    )):
+        out += [(m.start(), n, m.end(), name) for m in re.finditer(pattern, text) if good(m.group())]
+    return sorted(out)
+
+
+def check(spark, texts):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    for r in P.digest(df).collect():
+        want = brute(texts[r.doc_id])
+        said = ",".join(f"{n}:{s}:{e}" for s, _, e, n in want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[1] == k for x in want) for k in range(4)), texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest(), (texts[r.doc_id], said, r.spans)
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in ("email", "ip", "card", "phone")] == [x for x in said.split(",") if x] or not said
+        assert len(r.scores.split(",")) == len(r.spans.split(","))
+
+
+CASES = [
+    None, "", "a@b.c", "a@b.c.d@e.f", "x a@b.com.y%z@w.v q", "a@b", "@a.b", "a@@b.c", "é𝄞a.b+c@d-e.f é", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "000255.0.00.1",
+    "1.2.3", "..1.2.3.4..", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111  1111", "41111111111111111111111", "49927398716", "12345678901237", "+1 (389) 555-5010 x",
+    "++44 20 7946 0958", "+1", "+12", "+1((((", "+123456789012345678", "mail me: a@b.co 4111111111111111 +12345678901 10.0.0.1", "1-2-3-4-5-6-7-8-9-0-1-2-3-4",
+]
+
+
+def test_cases(spark):
+    check(spark, CASES)
+
+
+def test_random_texts(spark):
+    rng = random.Random(3)
+    pieces = ["a", "@", ".", "1", "25", "0", "-", " ", "+", "(", ")", "%", "é", "x.y", "\n", "4111111111111111", "@b.c", "1.2.3.4", "+1234567890", "\x85", "_"]
+    check(spark, ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(4000)])
+
+
+@pytest.mark.parametrize("text", ["a" * 20_000, "1" * 20_000, "1." * 100_000, "1 " * 100_000, "a@" + "b." * 100_000 + "c", "+" * 100_000 + "1(" * 100_000, "a@b.c " * 3000, "0" * 100_000 + ".1.1.1", "A1" * 60_000])
+def test_long_texts(spark, text):
+    check(spark, [text])
+
+
+def test_own_kinds_and_context(spark):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "GB82 WEST 1234 5698 7654 33", "ssn 123-45-6789", "123-45-6789", "000-12-3456", "DE89370400440532013000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.scores) for r in P.digest(df).collect()}
+    assert got == {0: ("iban:5:32", "1.0"), 1: ("", ""), 2: ("ssn:4:15", "0.6"), 3: ("ssn:0:11", "0.5"), 4: ("", ""), 5: ("iban:0:22", "0.9")}
+
+
+def test_empty_table_and_plan(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert P.digest(df).count() == 0
+    plan = P.digest(df.withColumn("text", F.lit("x")))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
