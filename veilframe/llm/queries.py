@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, line_dedup, mixing, packing, pii, quality, simhash_dedup
+from . import fingerprints, licenses, line_dedup, media, mixing, packing, pii, quality, simhash_dedup
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_classifier": lambda spark, d: quality.digest(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op3_simhash_near_dedup": lambda spark, d: simhash_dedup.digest(documents(spark, d)),
     "op4_pii": lambda spark, d: pii.digest(documents(spark, d)),
+    "op5_media_columns": lambda spark, d: media.digest(documents(spark, d)),
     "op6_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op8_license_scan": lambda spark, d: licenses.digest(documents(spark, d)),
     "op9_document_fingerprints": lambda spark, d: fingerprints.digest(documents(spark, d)),
