@@ -19,6 +19,8 @@ from .common import BLANK, WORD, own_columns, written
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 #: Rows that one sorted bucket of a source has, about.
 BUCKET_ROWS = 20_000
+#: Stands for a null id where texts meet their numbers.
+NO_ID = -(1 << 63)
 #: Characters that clean prose has few of.
 JUNK = r"[!$%&*#|]+"
 
@@ -86,6 +88,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def repeated(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` of docs, each row as often as the mix takes it: taken / size, rounded, times.
+
+    Only ids and numbers are sorted; texts meet their numbers by id once. Rows that share an id share their number.
+    """
+    times = mix(docs).where("taken > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    times = times.groupBy("_id").agg(F.max("_times").alias("_times")).where("_times > 0")
+    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(times, "_id")
+    return rows.select(*keep, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).select(*keep)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
