@@ -18,7 +18,7 @@ from .common import BLANK, WORD, own_columns, written
 
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 #: Rows that one sorted bucket of a source has, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Stands for a null id where texts meet their numbers.
 NO_ID = -(1 << 63)
 #: Characters that clean prose has few of.
