@@ -27,7 +27,7 @@ from .common import own_columns, written
 
 CAPACITY, CLOSING = 1024, 2
 #: Rows that one sorted part of a length has, about.
-PART_ROWS = 20_000
+PART_ROWS = 2_000
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
