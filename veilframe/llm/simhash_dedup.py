@@ -30,7 +30,7 @@ from .common import own_columns, written
 
 WORDS, RADIUS, SEED = 3, 2, 42
 #: Residents of a shard, about; points of the sample for each shard; most shards that the driver plans.
-SHARD_ROWS, SAMPLE_PER_SHARD, MOST_SHARDS = 8_000, 64, 1 << 15
+SHARD_ROWS, SAMPLE_PER_SHARD, MOST_SHARDS = 2_000, 64, 1 << 15
 #: Pairs that are compared outright rather than split further.
 BLOCK = 1 << 17
 NO_ID = (1 << 63) - 1
