@@ -237,3 +237,38 @@ def license_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 
 def digest(docs: DataFrame) -> DataFrame:
     return license_scan(docs).drop("detections")
+
+
+def _sql() -> str:
+    """The same in SQL. Words stand between two blanks there, so that neighbouring matches needn't share one."""
+    double = lambda p: p.replace(" ", "  ")
+    groups = [(p, p, f"'{name}'", "10", True) for p, name in BASE]
+    for keyword, rules in _groups():
+        whole = " ".join(f"WHEN regexp_full_match(m, ' (?:{double(r.pattern)}) ') THEN" + " {}" for r in rules)
+        name, priority = whole.format(*(f"'{r.label}'" for r in rules)), whole.format(*(r.priority for r in rules))
+        groups.append((keyword, "|".join(r.pattern for r in rules), f"CASE {name} END", f"CASE {priority} END", False))
+    count = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+    parts = []
+    for keyword, pattern, name, priority, base in groups:
+        p = f" (?:{double(pattern)}) "
+        parts.append(f"""
+  SELECT doc_id, {str(base).lower()} AS base, s // 2 AS s, s // 2 + {count("m")} // 2 AS e, {priority} AS priority, {name} AS label FROM (
+    SELECT doc_id, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: {count("x")})) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: {count("x")})), 0) AS s FROM (
+      SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(w, '{p}') AS ms, regexp_split_to_array(w, '{p}') AS gs FROM d WHERE contains(w, '{double(" " + keyword if base else keyword)}'))))""")
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') AS x FROM documents),
+d AS (SELECT doc_id, CASE WHEN trim(x) = '' THEN '' ELSE ' ' || replace(trim(x), ' ', '  ') || ' ' END AS w FROM t),
+hit AS ({" UNION ALL ".join(parts)}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, priority DESC, label) AS n FROM hit WHERE NOT base),
+walk AS (
+  SELECT doc_id, n, label, priority, e AS far, priority AS top, true AS stays FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT r.doc_id, r.n, r.label, r.priority, greatest(w.far, r.e), CASE WHEN r.e > w.far THEN r.priority ELSE w.top END, NOT (w.far >= r.e AND w.top >= r.priority) FROM walk w JOIN ranked r ON r.doc_id = w.doc_id AND r.n = w.n + 1
+), every AS (
+  SELECT doc_id, true AS base, s, label, priority FROM hit WHERE base UNION ALL SELECT doc_id, false, NULL, label, priority FROM walk WHERE stays
+)
+SELECT d.doc_id, any_value(CAST({count("w")} // 2 AS BIGINT)) AS n_words, count(*) FILTER (WHERE base) AS n_base, CAST(min(s) AS BIGINT) AS first_word, CAST(max(s) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(priority), 0) / 100::DOUBLE AS score
+FROM d LEFT JOIN every USING (doc_id) GROUP BY d.doc_id"""
+
+
+SQL = _sql()

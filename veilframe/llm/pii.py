@@ -51,6 +51,11 @@ def mod97(m: Column) -> Column:
     return F.length(m).between(15, 34) & (value == 1)
 
 
+def ssn_parts(m: Column) -> Column:
+    """No part of zeros, no area that is never given out."""
+    return ~m.rlike("^(?:000|666|9)") & ~m.rlike("^....00") & ~m.endswith("0000")
+
+
 def always(m: Column) -> Column:
     return F.lit(True)
 
@@ -63,16 +68,18 @@ class Kind:
     valid: Callable[[Column], Column]
     score: float
     context: str
+    #: What must not stand right before or after.
+    neighbour: str = ""
 
 
 #: In the order in which spans of one start are listed; the first four are the base.
 KINDS = (
     Kind("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", always, 0.9, "e-?mail|contact|write|correo|courriel"),
-    Kind("ip", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", byte_parts, 0.6, r"\bip\b|address|host|server|login"),
+    Kind("ip", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", byte_parts, 0.6, "address|host|server|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++", luhn, 0.8, "card|visa|master|credit|debit|carte|tarjeta|karte"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", phone_digits, 0.6, "phone|tel|call|mobile|fax|whatsapp"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod97, 0.9, "iban|account|bank|konto|compte|cuenta"),
-    Kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", always, 0.5, r"ssn|social security|tax"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", mod97, 0.9, "iban|account|bank|konto|compte|cuenta", "[A-Za-z0-9]"),
+    Kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", ssn_parts, 0.5, "ssn|social security|tax", "[0-9-]"),
 )
 BASE = 4
 
@@ -81,7 +88,7 @@ def spans(text: Column, number: int, kind: Kind) -> Column:
     """array<SPAN> of one kind in text. Starts add up the lengths of what matched and of what stands between."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     between = F.split(text, kind.pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), between.alias("g"))
+    zipped = F.arrays_zip(found.alias("m"), between.alias("g"), F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0))).alias("after"))
     none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -90,7 +97,10 @@ def spans(text: Column, number: int, kind: Kind) -> Column:
         score = F.lit(kind.score) + F.when(F.lower(F.right(x["g"], F.lit(NEARBY))).rlike(kind.context), 0.1).otherwise(0.0)
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.round(score, 2).alias("score"))
         # arrays_zip pads the matches with one null, beside the text's last part
-        good = F.coalesce(x["m"].isNotNull() & kind.valid(x["m"]), F.lit(False))
+        good = x["m"].isNotNull() & kind.valid(x["m"])
+        if kind.neighbour:
+            good = good & ~x["g"].rlike(f"{kind.neighbour}$") & ~x["after"].rlike(f"^{kind.neighbour}")
+        good = F.coalesce(good, F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     every = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
@@ -122,3 +132,40 @@ def digest(docs: DataFrame) -> DataFrame:
         _said(F.col("every")).alias("spans"),
         F.array_join(F.transform("every", lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
+
+
+def _sql() -> str:
+    """The same in SQL: matches and what stands between them give starts; plain patterns, as that engine doesn't retry."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+    }
+    number = "regexp_replace(m, '[^0-9]', '', 'g')"
+    digit = f"CAST(substr(reverse({number}), i, 1) AS INT)"
+    turned = "substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4)"
+    mod = f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE 1000 + ascii(c) - 55 END)), lambda acc, v: CASE WHEN v < 1000 THEN acc * 10 + v ELSE acc * 100 + v - 1000 END % 97)"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INT) > 255)) = 0",
+        "card": f"length({number}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({number}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} ELSE {digit} * 2 - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+        "phone": f"length({number}) BETWEEN 10 AND 15",
+        "iban": f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {mod} = 1",
+        "ssn": "NOT regexp_matches(m, '^(?:000|666|9)|^....00|0000$')",
+    }
+    parts = []
+    for n, k in enumerate(KINDS):
+        p = plain.get(k.name, k.pattern)
+        beside = f"AND NOT regexp_matches(g, '{k.neighbour}$') AND NOT regexp_matches(after, '^{k.neighbour}')" if k.neighbour else ""
+        parts.append(f"""
+  SELECT doc_id, {n} AS kind, '{k.name}' AS name, s AS "start", s + length(m) AS "end", round({k.score} + CASE WHEN regexp_matches(lower(right(g, {NEARBY})), '{k.context}') THEN 0.1 ELSE 0 END, 2)::DOUBLE AS score FROM (
+    SELECT doc_id, ms[i] AS m, gs[i] AS g, gs[i + 1] AS after, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM (
+      SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gs FROM d))) WHERE {valid[k.name]} {beside}""")
+    said = "string_agg(name || ':' || \"start\" || ':' || \"end\", ',' ORDER BY \"start\", kind)"
+    counts = ", ".join(f"count(*) FILTER (WHERE name = '{k.name}') AS n_{k.name}" for k in KINDS[:BASE])
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), span AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce({said} FILTER (WHERE kind < {BASE}), '')) AS base_sha256, coalesce({said} FILTER (WHERE name IS NOT NULL), '') AS spans,
+  coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY "start", kind) FILTER (WHERE name IS NOT NULL), '') AS scores FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id"""
+
+
+SQL = _sql()

@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op4_pii": pii.SQL,
     "op6_mixing": mixing.SQL,
     "op7_chat_format": chat.SQL,
+    "op8_license_scan": licenses.SQL,
 }
