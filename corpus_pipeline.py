@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import line_dedup, mixing, packing, quality, similarity
-from veilframe.llm.common import documents, written
+from veilframe.llm.common import documents, own_columns, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A token sequence comes from a tokenizer file and integers of the plan, which SQL can't express.
@@ -32,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are alike to 0.8 or more."""
-    return similarity.one_of_each(docs).select(*COLUMNS)
+    return similarity.one_of_each(own_columns(docs, *COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
