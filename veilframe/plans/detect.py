@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from ..functions import scripts
+from ..functions import models, scripts
 from ..functions import text as T
 from ..operators import analytics, content, postprocess, redact, resolve, scan
 
 Engine = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 ENGINES: dict[str, Engine] = {}
 NER = "doc_id long, label string, text string, score double, start int, end int"
-# Labels of models as types, and least scores by type.
-LABELS = {"person": "name", "person name": "name", "organization": "organization", "company": "organization", "location": "city", "city": "city", "address": "address", "disease": "diagnosis", "medical condition": "diagnosis", "medication": "medication", "drug": "medication", "nationality": "nationality", "job title": "occupation"}
 
 
 def register_engine(name: str, engine: Engine) -> None:
@@ -37,13 +35,20 @@ def routed(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("engine", scripts.engine(F.coalesce(F.col(text), F.lit("")), F.col("profile")))
 
 
-def model_matches(docs: DataFrame, name: str, text: str = "text", floor: float = 0.5) -> DataFrame:
-    """matches of a registered engine over chunks of docs, spans put back into the documents."""
+def model_matches(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """matches of a registered engine over chunks of docs, spans put back into the documents, weak hits left out."""
     found = content.chunks(docs, text).mapInArrow(ENGINES[name], NER)
-    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in sum(LABELS.items(), ())]), F.lower("label")), F.lower(F.replace("label", F.lit(" "), F.lit("_"))))
-    rows = found.where((F.col("score") >= floor) & (T.stripped(F.col("text")) != "")).select("doc_id", kind.alias("pii_type"), T.stripped(F.col("text")).alias("value"), "start", "end", F.col("score").alias("confidence"), F.lit(name).alias("source"), F.lit("").alias("context"), F.lit(1000).alias("ord"))
+    found = found.join(docs.select("doc_id", T.ocr_like(F.coalesce(F.col(text), F.lit(""))).alias("_ocr")), "doc_id")
+    rows = found.select("doc_id", models.label_type(F.col("label")).alias("pii_type"), T.stripped(F.col("text")).alias("value"), "start", "end", F.col("score").alias("confidence"), "_ocr").where("value <> ''")
+    rows = rows.where(models.accepted(F.col("pii_type"), F.col("value"), F.col("confidence"), F.col("_ocr"), postprocess.STOPWORDS))
     # chunks overlap, so what stands in two of them is found twice
-    return rows.groupBy("doc_id", "pii_type", "value", "start", "end").agg(F.max("confidence").alias("confidence"), F.first("source").alias("source"), F.first("context").alias("context"), F.first("ord").alias("ord"))
+    return rows.groupBy("doc_id", "pii_type", "value", "start", "end").agg(F.max("confidence").alias("confidence")).select("*", F.lit(name).alias("source"), F.lit("").alias("context"), F.lit(1000).alias("ord"))
+
+
+def asked(docs: DataFrame, engine: str = "qwen_ner", text: str = "text") -> DataFrame:
+    """(doc_id, chunk_id, start, text, prompt): what a language model is to be asked; its answers go to models.answered."""
+    chunks = content.chunks(docs, text, models.CHUNK_CHARS, models.CHUNK_OVERLAP)
+    return chunks.withColumn("prompt", models.prompt(F.col("text"), engine))
 
 
 def detect(docs: DataFrame, text: str = "text", types: Sequence[str] | None = None, use_nlp: bool = True, engines: dict[str, str] | None = None, most: int | None = None, clean: bool = True) -> DataFrame:
