@@ -30,30 +30,38 @@ def script_of(word: Column) -> Column:
 
 
 def word_scripts(text: Column) -> Column:
-    """array<string>: the scripts of the words that have letters, in order; a plain text isn't looked at word by word."""
-    lettered = F.filter(F.split(text, r"(?U)\s+"), lambda w: w.rlike(r"\p{L}"))
-    other = F.transform(lettered, script_of)
-    return F.when(text.rlike(f"[{NON_LATIN}]"), other).otherwise(F.transform(lettered, lambda w: F.lit("latin")))
+    """array<string>: the scripts of the words that have letters, in order."""
+    return F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda w: w.rlike(r"\p{L}")), script_of)
 
 
 def profile(text: Column) -> Column:
-    """struct: dominant script (the first of the most frequent), its share, the mixed share, families, language, engine."""
+    """struct: dominant script (the first of the most frequent), its share, the mixed share, families, distribution.
+
+    Only a text that holds a character of another script is looked at word by word; all others are latin.
+    """
     found = word_scripts(text)
     names = F.array_distinct(found)
     counted = F.transform(names, lambda s: F.struct(F.size(F.filter(found, lambda x: x == s)).alias("n"), s.alias("script")))
     top = F.array_max(F.transform(counted, lambda c: c["n"]))
     dominant = F.coalesce(F.get(F.filter(counted, lambda c: c["n"] == top), F.lit(0))["script"], F.lit("latin"))
     share = F.coalesce(top / F.size(found), F.lit(1.0))
-    return F.struct(
-        dominant.alias("dominant_script"),
-        F.round(share, 3).alias("dominant_share"),
-        F.round(1 - share, 3).alias("mixed_ratio"),
-        F.size(names).alias("n_scripts"),
-        F.arrays_overlap(names, F.array(*map(F.lit, INDIC))).alias("has_indic"),
-        F.arrays_overlap(names, F.array(*map(F.lit, ARABIC))).alias("has_arabic"),
-        F.arrays_overlap(names, F.array(*map(F.lit, CJK))).alias("has_cjk"),
-        F.map_from_entries(F.transform(counted, lambda c: F.struct(c["script"], F.round(c["n"] / F.size(found), 3)))).alias("distribution"),
+    lettered = text.rlike(r"\p{L}")
+
+    def struct(*values: Column) -> Column:
+        names_ = ("dominant_script", "dominant_share", "mixed_ratio", "n_scripts", "has_indic", "has_arabic", "has_cjk", "distribution")
+        return F.struct(*[v.alias(n) for v, n in zip(values, names_, strict=True)])
+
+    mixed = struct(
+        dominant,
+        F.round(share, 3),
+        F.round(1 - share, 3),
+        F.size(names),
+        *[F.arrays_overlap(names, F.array(*map(F.lit, family))) for family in (INDIC, ARABIC, CJK)],
+        F.map_from_entries(F.transform(counted, lambda c: F.struct(c["script"], F.round(c["n"] / F.size(found), 3)))),
     )
+    none = F.map_from_entries(F.array().cast("array<struct<script:string,share:double>>"))
+    latin = struct(F.lit("latin"), F.lit(1.0), F.lit(0.0), lettered.cast("int"), *[F.lit(False)] * 3, F.when(lettered, F.create_map(F.lit("latin"), F.lit(1.0))).otherwise(none))
+    return F.when(text.rlike(f"[{NON_LATIN}]"), mixed).otherwise(latin)
 
 
 def language(script: Column) -> Column:
@@ -63,10 +71,9 @@ def language(script: Column) -> Column:
 
 def engine(text: Column, p: Column) -> Column:
     """none, patterns, multilingual or latin: which semantic engine runs beside the patterns."""
-    n = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"(?U)\s+")))
     return (
-        F.when(n == 0, F.lit("none"))
-        .when(n < FEW_WORDS, F.lit("patterns"))
+        F.when(~text.rlike(r"(?U)\S"), F.lit("none"))
+        .when(~text.rlike(rf"(?U)\A\s*+(?:\S++\s*+){{{FEW_WORDS}}}"), F.lit("patterns"))
         .when(p["has_indic"] | p["has_arabic"] | p["has_cjk"], F.lit("multilingual"))
         .when((p["dominant_script"] == "latin") | (p["n_scripts"] > 1) | (p["mixed_ratio"] > MIXED), F.lit("latin"))
         .otherwise(F.lit("patterns"))

@@ -16,6 +16,8 @@ ARABIC_MARKS = ((0x0610, 0x061A), (0x064B, 0x065F), (0x0670, 0x0670), (0x06D6, 0
 PLAIN = {0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"', 0x2013: "-", 0x2014: "-", 0x2015: "-", 0x00A0: " ", 0x200A: " ", 0x2009: " "}
 LONGER = {0x2026: "...", 0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl"}
 DIGIT_ZEROS = (0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0660, 0x06F0, 0x07C0, 0x1040, 0x17E0, 0x1810, 0x1946, 0xFF10)
+#: Below lie ASCII and the letters of western languages, of which few have a plain equivalent.
+COMMON = 0x180
 #: Characters around a match that make its context.
 CONTEXT = 40
 
@@ -50,16 +52,22 @@ def normalise(text: Column) -> Column:
     """The normal form that detection works on.
 
     Control characters but tab, line feed and carriage return, and four zero-width ones, go; quotes, dashes, digits and
-    other characters with a plain equivalent become it; at most two blanks and three line feeds stand in a row. Texts of
-    printable ASCII skip the tables.
+    other characters with a plain equivalent become it; at most two blanks and three line feeds stand in a row. Texts that
+    hold no such character, as most in Latin letters don't, skip the tables.
     """
     out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{200B}\x{200C}\x{200D}\x{FEFF}]+", "")
     plain = F.translate(out, *_single())
     for c, form in LONGER.items():
         plain = F.replace(plain, F.lit(chr(c)), F.lit(form))
-    out = F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(out)
+    special = [c for c in _single()[0] if ord(c) < COMMON]
+    odd = "".join(f"\\x{{{ord(c):X}}}" for c in special) + f"\\x{{{COMMON:X}}}-\\x{{10FFFF}}"
+    out = F.when(text.rlike(f"[{odd}]"), plain).otherwise(out)
     out = F.regexp_replace(out, r"([ \t]{2})[ \t]+", "$1")
-    return F.regexp_replace(out, r"(\n{3})\n+", "$1")
+    out = F.regexp_replace(out, r"(\n{3})\n+", "$1")
+    # one look at single characters, the others by plain search, so that texts in normal form are not rewritten
+    control = "".join(f"\\x{{{c:X}}}" for c in (*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F))
+    touched = text.contains("   ") | text.contains("\t") | text.contains("\n\n\n\n") | text.rlike(f"[{control}{odd}]")
+    return F.when(touched, out).otherwise(text)
 
 
 def digits(x: Column) -> Column:

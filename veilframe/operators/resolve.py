@@ -60,13 +60,14 @@ def without_phone_tails(matches: DataFrame) -> DataFrame:
     """Without phones whose digits end another, longer phone of the document.
 
     Reversed, a tail is a prefix, and in order of reversed digits a prefix stands right before what it begins: the next
-    longer value decides, without comparing pairs.
+    different value decides, without comparing pairs. Of equal values only the last sees it, so it is shared among them.
     """
-    phones = matches.where("pii_type = 'phone'").withColumn("_r", F.reverse(T.digits(F.col("value"))))
-    later = Window.partitionBy("doc_id").orderBy("_r")
-    distinct = phones.select("doc_id", "_r").distinct().withColumn("_next", F.lead("_r").over(later))
-    kept = distinct.where(F.col("_next").isNull() | ~F.col("_next").startswith(F.col("_r"))).select("doc_id", "_r")
-    return matches.where("pii_type <> 'phone'").unionByName(phones.join(kept, ["doc_id", "_r"], "left_semi").drop("_r"))
+    number = F.when(F.col("pii_type") == "phone", F.reverse(T.digits(F.col("value"))))
+    after = F.lead("_r").over(Window.partitionBy(*_KEY).orderBy("_r"))
+    rows = matches.withColumn("_r", number).withColumn("_after", after)
+    rows = rows.withColumn("_next", F.max(F.when(F.col("_after") != F.col("_r"), F.col("_after"))).over(Window.partitionBy(*_KEY, "_r")))
+    kept = F.col("_r").isNull() | F.col("_next").isNull() | ~F.col("_next").startswith(F.col("_r"))
+    return rows.where(kept).drop("_r", "_after", "_next")
 
 
 def key(pii_type: Column, value: Column) -> Column:
@@ -129,7 +130,8 @@ def fused(matches: DataFrame) -> DataFrame:
 def resolve(matches: DataFrame, docs: DataFrame | None = None, text: str = "text") -> DataFrame:
     """entities of matches; with docs, matches of models are grounded in them first."""
     rows = grounded(matches, docs, text) if docs is not None else matches
-    return fused(without_phone_tails(uncontained(rows)))
+    # one shuffle by document serves all windows and groups that follow, here and in the filters
+    return fused(without_phone_tails(uncontained(rows.repartition("doc_id"))))
 
 
 def ordered(entities: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ text, half-open; ord is the type's place in the registry and, with start, gives
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ from ..functions import text as T
 
 MATCH = "struct<pii_type:string,value:string,start:int,end:int,confidence:double,source:string,context:string,ord:int>"
 
-#: What a text must hold for a type's pattern to match; texts without it are not looked at. Lower-case words, or a
-#: pattern of one pass.
+#: What a text must hold for a type's pattern to match; texts without it are not looked at. A pattern of one pass, or
+#: some of several: words in lower case, "=" words as they are, "re:" patterns.
 GATES: dict[str, tuple[str, ...] | str] = {
     "aadhaar": r"\p{Nd}{4}", "pan": r"\p{Nd}{4}", "passport": ("passport",), "voter_id": r"\p{Nd}{7}", "driving_license": r"\p{Nd}{7}",
     "ssn": ("ssn", "security", "s.s.n", "taxpayer"), "abha_number": ("abha",), "credit_card": r"\p{Nd}[ -]*\p{Nd}[ -]*\p{Nd}[ -]*\p{Nd}",
@@ -27,7 +28,8 @@ GATES: dict[str, tuple[str, ...] | str] = {
     "immunization": ("vaccin", "immuniz", "booster"), "blood_group": "[ABO][+-]", "mrn": ("mrn", "patient", "record"), "insurance_policy": ("policy",),
     "employee_id": ("emp",), "corporate_email": "@", "email": "@", "phone": r"\p{Nd}{3}", "pincode": r"[0-9]{6}|\p{Nd}{6}", "weight": r"\p{Nd}", "height": r"\p{Nd}",
     "age": r"\p{Nd}", "lab_test_results": ("lab", "blood", "urine", "hemoglobin", "cholesterol", "glucose", "creatinine", "bp"),
-    "insurance_account_number": ("insurance",), "contact": ("contact",), "ip_address": r"\p{Nd}\.\p{Nd}", "dob": r"\p{Nd}", "address": ("addr", "residence", "पता", "ঠিকানা", "পতা", "முகவரி", "చిరునామా"),
+    "insurance_account_number": ("insurance",), "contact": ("contact",), "father_name": ("/o", "father", "pita", "fname", "f.name", r"re:(?Ui)(?:son|daughter|wife|care)\s+of", r"re:\p{Nd}\r?\n[A-Za-z]"), "gender": ("male", "transgender", "binary", "other", "पुरुष", "महिला", "પુરુષ", "મહિલા", "ਪੁਰਸ਼", "ਔਰਤ"),
+    "educational_qualification": ("=B.", "=BSc", "=BTech", "=BE", "=BCom", "=BA", "=M.", "=MSc", "=MTech", "=ME", "=MBA", "=MPhil", "=MBBS", "=Ph", "=iploma", "=achelor", "=aster", "=octorate", "=raduate"), "ip_address": r"\p{Nd}\.\p{Nd}", "dob": r"\p{Nd}", "address": ("addr", "residence", "पता", "ঠিকানা", "পতা", "முகவரி", "చిరునామా"),
 }
 
 #: The same matches without trying every start of a run or recursing for every label; a domain has at most 127 labels.
@@ -74,10 +76,8 @@ def gate(text: Column, lower: Column, kind: str) -> Column:
         return text.contains("@")
     if isinstance(what, str):
         return text.rlike(what)
-    out = lower.contains(what[0])
-    for word in what[1:]:
-        out = out | lower.contains(word)
-    return out
+    looks = [text.rlike(w[3:]) if w.startswith("re:") else text.contains(w[1:]) if w.startswith("=") else lower.contains(w) for w in what]
+    return functools.reduce(lambda a, b: a | b, looks)
 
 
 def occurrences(text: Column, pattern: str, groups: Sequence[int] = ()) -> Column:
@@ -155,7 +155,8 @@ def _named(number: int, text: Column) -> Column:
         start = x["start"] + F.length(x["g1"])
         return _match("name", len(registry.TYPES) + number, text, x, F.when(good, value), start, start + F.length(x["g2"]), NAME_CONFIDENCE)
 
-    seen = text.rlike(("(?i)name", "DOB|Birth", r"\p{Nd}[/.\-]\p{Nd}", "(?i)name", "/O|Father")[number])
+    lower = F.lower(text)
+    seen = (lower.contains("name"), text.contains("DOB") | text.contains("Birth"), text.rlike(r"\p{Nd}[/.\-]\p{Nd}"), lower.contains("name"), text.contains("/O") | text.contains("Father"))[number]
     return F.when(seen, F.filter(F.transform(found, match), lambda m: m["value"].isNotNull())).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
