@@ -30,7 +30,7 @@ SPOTS = CHUNK - WIDTH + 1
 WINDOWS = SPOTS // WINDOW
 FILTERS, HIDDEN = 8, 16
 LAGS = range(2, 34)
-TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, RATE = 3000, 8, 14, 0.01
+TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, RATE = 3000, 6, 8, 0.01
 #: Chunks that are scored at a time, for a bound on memory.
 BLOCK = 512
 
