@@ -14,8 +14,12 @@ OTHER_WEIGHT = 0.2
 EXCLUDED = ("ORGANIZATION",)
 GOVERNMENT = ("AADHAAR", "PAN", "DRIVING_LICENSE", "PASSPORT", "VOTER_ID")
 LOW, MEDIUM = 0.3, 0.7
-# Names in answers; types that hint at a kind of document; states and cities of addresses.
+# Names in answers and in reports; types that hint at a kind of document; states and cities of addresses.
 ANSWER_NAMES = {"aadhaar": "aadhaar_number", "pan": "pan_number", "dob": "date_of_birth", "mrn": "medical_record_number"}
+DISPLAY = {
+    "name": "PERSON", "father_name": "FATHER_NAME", "organization": "ORG", "address": "ADDRESS", "pan": "PAN", "aadhaar": "AADHAAR", "voter_id": "VOTER_ID", "phone": "PHONE", "email": "EMAIL",
+    "credit_card": "CREDIT_CARD", "dob": "DOB", "expiry": "EXPIRY", "cvv": "CVV", "gender": "GENDER",
+}
 HINTS = {
     "contains_government_id": ("aadhaar", "pan", "passport", "voter_id", "driving_license", "abha_number", "ssn"),
     "contains_medical_data": ("diagnosis", "prescription", "mrn", "allergies", "treatment_history", "blood_group", "immunization", "lab_test_results", "medication"),
@@ -108,3 +112,14 @@ def column_rollup(findings: DataFrame, *by: str) -> DataFrame:
     best = primary_type(rows, *by, "field").withColumnRenamed("pii_type", "primary_type").withColumnRenamed("n", "primary_n")
     every = rows.groupBy(*by, "field").agg(F.count_distinct("pii_type").alias("n_types"), F.count("*").alias("n"))
     return every.join(best, [*by, "field"])
+
+
+def display_type(pii_type: Column) -> Column:
+    """A type's name in reports."""
+    return F.coalesce(postprocess.by_type(pii_type, DISPLAY, None), F.upper(pii_type))
+
+
+def masked_report(entities: DataFrame, each: int = 2) -> DataFrame:
+    """(doc_id, pii_type, n, samples) by display name: what may be written out as CSV or JSON, without values."""
+    n = entities.groupBy("doc_id", "pii_type").agg(F.count("*").alias("n"))
+    return n.join(masked_samples(entities, each), ["doc_id", "pii_type"]).withColumn("pii_type", display_type(F.col("pii_type")))

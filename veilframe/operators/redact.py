@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import postprocess
+from . import postprocess, scan
 
 # Types always hidden as a whole; digits that stay of others; labels.
 ALWAYS_FULL = ("password", "cvv", "ssn")
@@ -84,3 +84,12 @@ def verify(redacted: DataFrame, entities: DataFrame) -> DataFrame:
     number, plain = T.digits(F.col("value")), T.plain_key(F.col("value"))
     seen = F.col("redacted").contains(F.col("value")) | ((plain != "") & T.plain_key(F.col("redacted")).contains(plain)) | ((F.length(number) >= 6) & T.digits(F.col("redacted")).contains(number))
     return rows.where(seen).drop("redacted")
+
+
+def redact_cells(rows: DataFrame, key: str, columns: tuple[str, ...], types: tuple[str, ...] | None = None, mode: str = "contextual") -> DataFrame:
+    """rows with the named columns redacted cell by cell, as strings; ``key`` tells rows apart."""
+    cells = rows.select(F.col(key), F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])).alias("field", "cell"))
+    cells = cells.select(F.struct(key, "field").alias("doc_id"), F.col("cell").alias("text"))
+    done = redact_by_span(cells, scan.scan(cells, types=types, use_nlp=False, names=False), mode)
+    back = done.groupBy(F.col(f"doc_id.{key}").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("doc_id.field", "redacted"))).alias("_cells"))
+    return rows.join(back, key).select(*[F.col("_cells")[c].alias(c) if c in columns else F.col(c) for c in rows.columns])

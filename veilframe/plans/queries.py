@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import registry, scripts
+from ..functions import offsets, registry, scripts
 from ..functions import text as T
 from ..operators import analytics, content, postprocess, redact, resolve, scan, validate
 from ..sources import ingestion, readers, sinks
@@ -433,3 +433,23 @@ def json_responses(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS types, CAST(sum(CASE WHEN p THEN 1 ELSE 0 END) AS BIGINT) AS with_pattern, CAST(sum(r) AS BIGINT) AS ranks FROM (VALUES " + ", ".join(f"({str(bool(t.pattern)).lower()}, {t.rank})" for t in registry.TYPES) + ") v(p, r)")
 def type_registry(spark: SparkSession, d: str) -> DataFrame:
     return registry.pii_types(spark).agg(F.count("*").alias("types"), F.count_if("has_pattern").alias("with_pattern"), F.sum("rank").alias("ranks"))
+
+
+@query(f"WITH {X.ENTITIES_SQL} SELECT doc_id, CASE pii_type WHEN 'name' THEN 'PERSON' WHEN 'organization' THEN 'ORG' ELSE upper(pii_type) END AS pii_type, count(*) AS n FROM entities GROUP BY ALL")
+def report_types(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.masked_report(X.entities(spark, d).withColumn("start", F.lit(0))).select("doc_id", "pii_type", "n")
+
+
+@query("SELECT c_custkey, c_name, 'write to [EMAIL]' AS note FROM customer")
+def redact_cells(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", F.concat(F.lit("write to u"), F.col("c_custkey").cast("string"), F.lit("@mail.example")).alias("note"))
+    return redact.redact_cells(rows, "c_custkey", ("note",), ("email",))
+
+
+@query("SELECT doc_id, 0 AS s, 3 AS e, length(text) - 1 AS n FROM documents")
+def original_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The first two characters of a normal form whose original has a zero-width space between them."""
+    rows = docs(spark, d).select("doc_id", F.concat(F.lit("a\u200bb"), F.substr("text", F.lit(3))).alias("text"))
+    x = offsets.original_span(F.lit(0), F.lit(2), F.col("origin"))
+    plain = F.length(F.regexp_replace("text", "\u200b", "")) - 1
+    return rows.join(offsets.normalised(rows), "doc_id").select("doc_id", x["start"].alias("s"), x["end"].alias("e"), plain.cast("long").alias("n"))

@@ -198,3 +198,11 @@ def union_sheets(sheets: dict[str, DataFrame]) -> DataFrame:
     if out is None:
         raise ValueError("no sheets")
     return out
+
+
+def require_columns(df: DataFrame, *names: str) -> DataFrame:
+    """df if it has all the columns; else an error that names what is missing."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
