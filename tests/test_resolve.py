@@ -179,3 +179,21 @@ def test_normal_form(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.n for r in df.select("t", T.normalise(F.col("t")).alias("n")).collect()} == cases
     assert df.select(T.clean_ocr(F.lit("a​!!!! ___ \t\t\t\tb"))).first()[0] == "a! ___ \tb"
+
+
+def test_redaction_in_one_pass(spark):
+    texts = ["é call +91 98765 43210, mail a.b@c.com and a.b@c.com!", "plain", None, "", "4111 1111 1111 1111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.redacted, r.n_spans) for r in redact.redact_texts(docs, ("email", "phone", "credit_card", "aadhaar", "corporate_email")).collect()}
+    assert got == {0: ("é call [PHONE_NUMBER], mail [CORPORATE_EMAIL] and [CORPORATE_EMAIL]!", 3), 1: ("plain", 0), 2: (None, 0), 3: ("", 0), 4: ("[CARD_NUMBER]", 1)}
+
+
+def test_one_pass_merges_as_the_table_does(spark):
+    rng = random.Random(8)
+    rows = [entity(k % 30, rng.choice("abc"), f"v{k}", s := rng.randrange(80), s + rng.randrange(1, 20), order=k) for k in range(300)]
+    e = spark.createDataFrame(rows, ENTITY)
+    from pyspark.sql import functions as F
+
+    arrays = e.groupBy("doc_id").agg(redact.merged(F.collect_list(F.struct("pii_type", "value", "start", "end", "ord"))).alias("m"))
+    got = sorted((r.doc_id, x.start, x.end) for r in arrays.collect() for x in r.m)
+    assert got == sorted((r.doc_id, r.start, r.end) for r in redact.merged_spans(e).collect())

@@ -63,19 +63,52 @@ def merged_spans(entities: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), best).select("doc_id", "start", "end", "x.*")
 
 
+def _replaced(t: Column, spans: Column, mode: str) -> Column:
+    """t with each of the spans replaced; they are in order and don't meet. What stands between them and what replaces
+    them is joined once, so time grows with the text, not with spans x text."""
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
+    said = lambda s: F.substr(t, s["start"] + 1, s["end"] - s["start"])
+    parts = F.transform(spans, lambda s, i: F.concat(F.substr(t, before(i) + 1, s["start"] - before(i)), replacement(said(s), s["pii_type"], mode)))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, t).otherwise(F.concat(F.array_join(parts, ""), F.substr(t, F.element_at(spans, -1)["end"] + 1)))
+
+
 def redact_by_span(docs: DataFrame, entities: DataFrame, mode: str = "contextual", text: str = "text") -> DataFrame:
     """(doc_id, redacted, n_spans): the text with each merged span replaced, whatever form its value has there.
 
-    The parts between spans and their replacements are joined once, so time grows with the text, not with spans x text.
+    For spans that come from elsewhere, as from models; redact_texts finds and replaces in one pass.
     """
-    spans = merged_spans(entities)
-    sorted_spans = F.array_sort(F.collect_list(F.struct("start", "end", "pii_type", "value")))
-    rows = docs.select("doc_id", F.col(text).alias("_t")).join(spans.groupBy("doc_id").agg(sorted_spans.alias("_s")), "doc_id", "left")
-    t = F.col("_t")
-    said = lambda s: F.substr(t, s["start"] + 1, s["end"] - s["start"])
-    parts = F.transform("_s", lambda s, i: F.concat(F.substr(t, F.when(i == 0, 0).otherwise(F.get(F.col("_s"), i - 1)["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.get(F.col("_s"), i - 1)["end"])), replacement(said(s), s["pii_type"], mode)))
-    tail = F.substr(t, F.element_at("_s", -1)["end"] + 1)
-    return rows.select("doc_id", F.when(F.col("_s").isNull(), t).otherwise(F.concat(F.array_join(parts, ""), tail)).alias("redacted"), F.coalesce(F.size("_s"), F.lit(0)).alias("n_spans"))
+    spans = merged_spans(entities).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pii_type"))).alias("_s"))
+    rows = docs.select("doc_id", F.col(text).alias("_t")).join(spans, "doc_id", "left")
+    return rows.select("doc_id", _replaced(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.coalesce(F.size("_s"), F.lit(0)).alias("n_spans"))
+
+
+def merged(found: Column) -> Column:
+    """array<struct<start, end, pii_type>> of array<MATCH>: spans that meet as one, with the type of the longest of them."""
+    kind = "array<struct<start:int,end:int,pii_type:string>>"
+    order = F.array_sort(F.transform(F.filter(found, lambda m: m["end"] > m["start"]), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("_e"), m["ord"].alias("ord"), m["pii_type"].alias("pii_type"))))
+    now = lambda acc: F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["pii_type"].alias("pii_type")))
+    closed = lambda acc: F.when(acc["start"] < 0, acc["out"]).otherwise(F.concat(acc["out"], now(acc)))
+
+    def step(acc: Column, x: Column) -> Column:
+        end, size = -x["_e"], -x["_e"] - x["start"]
+        meets = (acc["start"] >= 0) & (x["start"] < acc["end"])
+        longer = size > acc["size"]
+        pick = lambda joined, own: F.when(meets, joined).otherwise(own)
+        return F.struct(
+            pick(acc["out"], closed(acc)).alias("out"), pick(acc["start"], x["start"]).alias("start"), pick(F.greatest(acc["end"], end), end).alias("end"),
+            pick(F.greatest(acc["size"], size), size).alias("size"), pick(F.when(longer, x["pii_type"]).otherwise(acc["pii_type"]), x["pii_type"]).alias("pii_type"),
+        )
+
+    empty = F.struct(F.array().cast(kind).alias("out"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1).alias("size"), F.lit("").alias("pii_type"))
+    return F.aggregate(order, empty, step, closed)
+
+
+def redact_texts(docs: DataFrame, types: tuple[str, ...] | None = None, mode: str = "contextual", text: str = "text", keep: tuple[str, ...] = ("doc_id",), use_nlp: bool = True) -> DataFrame:
+    """(keep, redacted, n_spans): every match of the patterns replaced where it stands, each row on its own: one read of
+    the text, no shuffle, no join. All matches count, also those that resolution would fold into one entity."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_t")).withColumn("_l", F.lower("_t"))
+    rows = rows.withColumn("_m", scan.found_in(F.coalesce("_t", F.lit("")), F.coalesce("_l", F.lit("")), types, use_nlp=use_nlp)).withColumn("_s", merged(F.col("_m")))
+    return rows.select(*keep, _replaced(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
 
 
 def verify(redacted: DataFrame, entities: DataFrame) -> DataFrame:
@@ -90,6 +123,6 @@ def redact_cells(rows: DataFrame, key: str, columns: tuple[str, ...], types: tup
     """rows with the named columns redacted cell by cell, as strings; ``key`` tells rows apart."""
     cells = rows.select(F.col(key), F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])).alias("field", "cell"))
     cells = cells.select(F.struct(key, "field").alias("doc_id"), F.col("cell").alias("text"))
-    done = redact_by_span(cells, scan.scan(cells, types=types, use_nlp=False, names=False), mode)
+    done = redact_texts(cells, types, mode, use_nlp=False)
     back = done.groupBy(F.col(f"doc_id.{key}").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("doc_id.field", "redacted"))).alias("_cells"))
     return rows.join(back, key).select(*[F.col("_cells")[c].alias(c) if c in columns else F.col(c) for c in rows.columns])

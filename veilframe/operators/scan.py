@@ -160,21 +160,23 @@ def _named(number: int, text: Column) -> Column:
     return F.when(seen, F.filter(F.transform(found, match), lambda m: m["value"].isNotNull())).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
+def found_in(t: Column, lower: Column, types: Sequence[str] | None = None, exclude: Sequence[str] = (), use_nlp: bool = True, names: bool | None = None) -> Column:
+    """array<MATCH> of a text column and its lower case. Patterns that aren't wanted are not run."""
+    skip = {*exclude, *(registry.MODEL_PREFERRED if use_nlp else ())}
+    wanted = [(i, k) for i, k in enumerate(registry.TYPES) if k.pattern and k.id not in skip and (types is None or k.id in types)]
+    names = (types is None or "name" in types) if names is None else names
+    arrays = [_typed(k, i, t, lower) for i, k in wanted] + ([_named(n, t) for n in range(len(NAMES))] if names else [])
+    return F.concat(*arrays) if arrays else F.array().cast(f"array<{MATCH}>")
+
+
 def scan(docs: DataFrame, text: str = "text", types: Sequence[str] | None = None, exclude: Sequence[str] = (), use_nlp: bool = True, names: bool | None = None) -> DataFrame:
     """matches of docs (doc_id, text), one pass and no shuffle; the text itself stays behind.
 
     types: only these; exclude: not these; use_nlp: not those that models are trusted with; names: also label-anchored
-    names (by default where types has no say). Patterns that aren't wanted are not run.
+    names (by default where types has no say).
     """
-    skip = {*exclude, *(registry.MODEL_PREFERRED if use_nlp else ())}
-    wanted = [(i, t) for i, t in enumerate(registry.TYPES) if t.pattern and t.id not in skip and (types is None or t.id in types)]
-    names = (types is None or "name" in types) if names is None else names
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_l", F.lower("_t"))
-    t, lower = F.col("_t"), F.col("_l")
-    arrays = [_typed(k, i, t, lower) for i, k in wanted] + ([_named(n, t) for n in range(len(NAMES))] if names else [])
-    if not arrays:
-        arrays = [F.array().cast(f"array<{MATCH}>")]
-    return rows.select("doc_id", F.explode(F.concat(*arrays)).alias("x")).select("doc_id", "x.*")
+    return rows.select("doc_id", F.explode(found_in(F.col("_t"), F.col("_l"), types, exclude, use_nlp, names)).alias("x")).select("doc_id", "x.*")
 
 
 def field_scan(rows: DataFrame, key: str, columns: Sequence[str] | None = None, types: Sequence[str] | None = None) -> DataFrame:
