@@ -60,3 +60,20 @@ def test_one_large_group(spark):
     rows = [(i, " ".join([*base[: i % 190], f"edit{i}", *base[i % 190 + 1 :]])) for i in range(400)]
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0}
+
+
+def test_bucket_whose_ends_are_unlike_the_rest(spark):
+    """A template that all share, at 0.787 below the threshold; pairs that share one more shingle reach 0.802."""
+    rng = random.Random(8)
+    shared, rows = words(rng, 100), []
+    for k in range(60):
+        own = lambda: ["own%d" % rng.randrange(1 << 40) for _ in range(13)]
+        first = own()
+        rows.append(" ".join([*shared, *first]))
+        if k % 3 == 0:
+            rows.append(" ".join([*shared, first[0], *own()[1:]]))
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert len(set(want)) == 60
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
