@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
 from veilframe.llm import similarity as S
-from veilframe.llm.simhash_dedup import shingles
+from veilframe.llm.simhash_dedup import fingerprint, hashes, shingles
 
 
 def words(rng, n):
@@ -77,3 +78,20 @@ def test_bucket_whose_ends_are_unlike_the_rest(spark):
     assert len(set(want)) == 60
     got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_equal_fingerprints_with_an_unlike_first(spark):
+    """Three texts of one fingerprint; the second and third are alike, but share no band and the first is like neither."""
+    rng = random.Random(5)
+    long = "x " * 1000
+    own = lambda n: " ".join("own%d" % rng.randrange(1 << 40) for _ in range(n))
+    sketch = lambda t: set(S.bands(np.unique(hashes(t, 5))))
+    while True:
+        shared = own(40)
+        b, c = (f"{long}{shared} {own(5)}" for _ in range(2))
+        if not sketch(b) & sketch(c):
+            break
+    texts = [long + own(45), b, c]
+    assert len({fingerprint(hashes(t, 5)) for t in texts}) == 1 and alike(b, c) and brute(texts) == [0, 1, 1]
+    got = S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1), (2, 1)]

@@ -1,7 +1,8 @@
 """Near-duplicates by Jaccard similarity of shingle sets, with SimHash's vantage-point trees as one source of candidates.
 
 At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits, where no vantage point prunes (random pairs lie
-at 32 +- 4, so a ring of radius 10 holds nearly all of them). The trees therefore give the pairs within ``RADIUS`` bits,
+at 32 +- 4, so a ring of radius 10 holds nearly all of them). The trees therefore give the pairs within ``RADIUS`` bits
+(as groups that such pairs connect, each group being a bucket like those of the bands),
 and min-wise bands, two sets meeting in one of BANDS buckets with a chance of 0.9996 at 0.8, give the rest. Every
 candidate pair is decided by the exact similarity of the two whole texts.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import components
 from .common import own_columns, written
-from .simhash_dedup import RADIUS, fingerprint, hashes, near_links
+from .simhash_dedup import fingerprint, hashes, near_links
 
 WORDS, SIMILARITY = 5, 0.8
 NO_ID = 1 << 62
@@ -109,19 +110,32 @@ def _alike(words: int, similarity: float):
     return run
 
 
-def candidates(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b), b < a: pairs of points (rep, fp, buckets) that may be alike."""
+def first_of_prints(points: DataFrame) -> DataFrame:
+    """(fp, rep): the smallest point of each fingerprint."""
+    return points.groupBy("fp").agg(F.min("rep").alias("rep"))
+
+
+def candidates(points: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b), b < a: pairs of points (rep, fp, buckets) for the first pass. near: spanning links of the trees."""
     placed = points.select("rep", F.explode("buckets").alias("bucket"))
     ends = placed.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     met = placed.join(ends, "bucket").select("rep", F.explode(F.array("lo", "hi")).alias("other"))
     met = met.where(F.col("rep") != F.col("other")).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))
-    prints = points.groupBy("fp").agg(F.min("rep").alias("rep"))
-    near = near_links(written(prints, "similar-prints"), radius).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     # points of one fingerprint, but not of one set, meet at its first
-    equal = points.select("fp", "rep").join(prints.withColumnRenamed("rep", "first"), "fp").where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    equal = points.select("fp", "rep").join(first_of_prints(points).withColumnRenamed("rep", "first"), "fp").where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     return met.unionByName(near).unionByName(equal).where("a > b").distinct()
 
 
+def with_groups(points: DataFrame, near: DataFrame) -> DataFrame:
+    """points with one more bucket each: its group, whose fingerprints links of at most RADIUS bits connect.
+
+    All pairs within the radius share their group. A group's number may be that of a band's bucket, which only adds pairs.
+    """
+    groups = components.roots(near).select(F.col("a").alias("rep"), F.col("b").alias("first"))
+    groups = first_of_prints(points).join(groups, "rep", "left").select("fp", F.coalesce("first", "rep").alias("group"))
+    return points.join(groups, "fp").withColumn("buckets", F.array_append("buckets", F.col("group"))).drop("group")
+
+
 def possible(part: np.ndarray, root: np.ndarray, size: np.ndarray, bits: list[bytes], similarity: float, most: int) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(i, some j, whether there are more than these) for points i and j of different roots that may be alike, each pair
     once: within a part if there is one, across if there are two. At most ``most`` j for each i."""
@@ -212,10 +226,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         met = met.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b").select("a", "b", "text_a", "text_b")
         return met.mapInArrow(_alike(words, similarity), "a long, b long")
 
-    roots = components.roots(alike(written(candidates(points), "similar-candidates")))
+    near = near_links(written(first_of_prints(points), "similar-prints")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    near = written(near, "similar-near")
+    roots = components.roots(alike(written(candidates(points, near), "similar-candidates")))
+    grouped = with_groups(points, near)
     most, more = FIRST_PAIRS, True
     while more:
-        pairs = written(rest(points, roots, similarity, most), "similar-rest")
+        pairs = written(rest(grouped, roots, similarity, most), "similar-rest")
         if pairs.take(1):
             roots = components.roots(roots.unionByName(alike(pairs.where("b is not null"))))
         most, more = most * GROWTH, bool(pairs.where("b is null").take(1))
