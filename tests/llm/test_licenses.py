@@ -46,3 +46,18 @@ def test_empty_table(spark):
 
 def test_rules_are_many_and_ordered():
     assert len(L.RULES) > 300 and [r.priority for r in L.RULES] == sorted((r.priority for r in L.RULES), reverse=True)
+
+
+def test_every_name_alone(spark):
+    rows = [(label, name) for label, _, names, _ in L.FAMILIES for name in names]
+    rows += [(f"{label}-{said}", f"{name} version {v}") for label, _, names, versions in L.FAMILIES for name in names for v, said in versions.items()]
+    rows += [(label, f"creative commons {name}") for name, label in L.CC_NAMES.items()] + [(label, words) for label, words, _ in L.NOTICES]
+    df = spark.createDataFrame([(i, f"x {text.upper()}.") for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in L.license_scan(df).collect()}
+    assert [(text, label) for i, (label, text) in enumerate(rows) if label not in got[i]] == []
+
+
+def test_needles_are_in_every_rule():
+    for keyword, rules in L._groups():
+        for r in rules:
+            assert any(n in L.fixed_part(r.pattern) for n in L.needles(keyword, rules)) and re.search(L.GATE, L.fixed_part(r.pattern))

@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind a keyword gate, overlaps resolved by priority and containment. Native only.
 
 A text is put into normal form (words in lower case with one space between them), on which rules are regular expressions.
-A rule family is looked at only where its keyword occurs. Each detection is an interval of words; one that lies within
+A rule family is looked at only where one of its needles occurs, each match of its rules having one. Each detection is an interval of words; one that lies within
 another of no lower priority goes, and so does the lower of two equal intervals. Base detections (three fixed phrases)
 always stay.
 
@@ -11,7 +11,9 @@ Rows are independent: repeated rows give repeated results, a null id stays null,
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -131,6 +133,23 @@ def _groups() -> list[tuple[str, list[Rule]]]:
     return sorted(by.items())
 
 
+def fixed_part(pattern: str) -> str:
+    """What stands in every match of a rule: its pattern without the optional groups, which begin or end it."""
+    fixed = max(re.split(r"\(\?:.*\)\?", pattern), key=len)
+    if not fixed or re.search(r"[^a-z0-9 ]", fixed):
+        raise ValueError(f"no fixed part in {pattern!r}")
+    return fixed
+
+
+def needles(keyword: str, rules: list[Rule]) -> list[str]:
+    """The keyword, and the shortest names among its rules that lack it: every match has one of these."""
+    out = [keyword]
+    for fixed in sorted({fixed_part(r.pattern) for r in rules}, key=lambda x: (len(x), x)):
+        if not any(n in fixed for n in out):
+            out.append(fixed)
+    return out
+
+
 def lower_ascii_words(text: Column) -> Column:
     """The words in order with a space before and after each: " one two ".
 
@@ -217,7 +236,8 @@ def license_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     gated = norm.withColumn("_hit", n.rlike(GATE))
     none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
     base = [F.when(F.col("_hit") & n.contains(f" {p} "), _detections(n, p, lambda m, name=name: (F.lit(name), F.lit(10)))).otherwise(none) for p, name in BASE]
-    own = [F.when(F.col("_hit") & n.contains(k), _detections(n, "|".join(r.pattern for r in rules), _resolved(rules))).otherwise(none) for k, rules in _groups()]
+    has = lambda k, rules: reduce(Column.__or__, [n.contains(x) for x in needles(k, rules)])
+    own = [F.when(F.col("_hit") & has(k, rules), _detections(n, "|".join(r.pattern for r in rules), _resolved(rules))).otherwise(none) for k, rules in _groups()]
     found = gated.select(*keep, F.when(F.length(n) > 2, _words(n) - 1).otherwise(F.lit(0)).cast("long").alias("n_words"), F.when(F.col("_hit"), F.concat(*base)).otherwise(none).alias("_base"), F.when(F.col("_hit"), F.concat(*own)).otherwise(none).alias("_own"))
     found = found.withColumn("detections", F.when(F.size("_own") > 0, survivors(F.col("_own"))).otherwise(none))
     names = lambda c: F.array_distinct(F.transform(c, lambda x: x["label"]))
