@@ -74,3 +74,15 @@ def test_empty_table_and_plan(spark):
     assert P.digest(df).count() == 0
     plan = P.digest(df.withColumn("text", F.lit("x")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ibans_and_what_follows(spark):
+    de, gb, xx = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "ZZ72 1234 5678 9012 3"
+    assert int("".join(str(int(c, 36)) for c in (xx[4:] + xx[:4]).replace(" ", ""))) % 97 == 1
+    texts = [
+        (f"{de} BIC COBADEFFXXX", [de]), (f"{gb} The end", [gb]), (f"{de} 1234 5678", [de]), (f"{de} {gb} {de}", [de, gb, de]), (f"REF AB12 CD34 {de} X", [de]),
+        (f"{de}7", []), (f"X{de}", []), ("DE89370400440532013000 A", ["DE89370400440532013000"]), (f"{xx} OF", [xx]), (f"é𝄞 {gb}\n", [gb]), (de[:-1] + "1 AND MORE", []), ("AB12 " * 3000 + de, [de]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [t for s in r.spans.split(",") if s.startswith("iban") for t in [texts[r.doc_id][0][int(s.split(":")[1]) : int(s.split(":")[2])]]] for r in P.digest(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}

@@ -1,7 +1,8 @@
 """PII: regular expressions propose spans, validators confirm them, context words adjust the score. Native only.
 
 Each kind is looked for on its own, leftmost first and without overlap; a match that its validator refuses goes, and what
-it covered is not looked at again. Patterns use possessive quantifiers and look-behind where the plain form would try
+it covered is not looked at again. IBANs differ: each place where one may begin is looked at, and it ends where its country's
+length says, or for a country without one at the last border that makes it valid. Patterns use possessive quantifiers and look-behind where the plain form would try
 every start within a long run: same matches, time in proportion to the text, no recursion.
 
 Definitions. A null text is empty: counts 0, no spans. Positions count code points from 0, ends are exclusive. Spans of
@@ -78,11 +79,57 @@ KINDS = (
     Kind("ip", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", byte_parts, 0.6, "address|host|server|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++", luhn, 0.8, "card|visa|master|credit|debit|carte|tarjeta|karte"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", phone_digits, 0.6, "phone|tel|call|mobile|fax|whatsapp"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", mod97, 0.9, "iban|account|bank|konto|compte|cuenta", "[A-Za-z0-9]"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?s:.?)))[A-Z]{2}", mod97, 0.9, "iban|account|bank|konto|compte|cuenta", "[A-Za-z0-9]"),
     Kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", ssn_parts, 0.5, "ssn|social security|tax", "[0-9-]"),
 )
 BASE = 4
 
+#: The length of an IBAN by its country.
+IBAN_SIZES = {country: int(size) for size, countries in (x.split(":") for x in (
+    "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA",
+    "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV",
+    "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+)) for country in countries.split()}
+
+
+def iban_spans(text: Column, number: int, kind: Kind) -> Column:
+    """array<SPAN> of the IBANs. A match is the first two letters; what may follow is captured, so that a refused proposal
+    covers nothing."""
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    zipped = F.arrays_zip(found.alias("m"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)).alias("tail"), F.split(text, kind.pattern, -1).alias("g"))
+    none = F.array().cast(f"array<{SPAN}>")
+    sizes = F.create_map(*[F.lit(x) for item in IBAN_SIZES.items() for x in item])
+
+    def size(tail: Column) -> Column:
+        """Of the IBAN that tail begins with; null if there is none."""
+        country = F.try_element_at(sizes, F.left(tail, F.lit(2)))
+        one = F.lit(1)
+
+        def ends(n: Column) -> Column:
+            border = F.substr(tail, n, one).rlike("[A-Z0-9]") & ~F.substr(tail, n + 1, one).rlike(kind.neighbour)
+            own = F.length(F.replace(F.left(tail, n), F.lit(" ")))
+            return border & (own == F.coalesce(country, own))
+
+        lengths = F.filter(F.sequence(F.length(tail), F.lit(15), F.lit(-1)), ends)
+        return F.get(F.filter(lengths, lambda n: kind.valid(F.left(tail, n))), F.lit(0))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["g"])
+        before = F.right(F.concat(acc["before"], x["g"]), F.lit(NEARBY))
+        score = F.lit(kind.score) + F.when(F.lower(before).rlike(kind.context), 0.1).otherwise(0.0)
+        end = start + F.when(x["m"].isNotNull(), size(x["tail"]))
+        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.round(score, 2).alias("score"))
+        good = F.coalesce(end.isNotNull() & (start >= acc["free"]), F.lit(False))
+        return F.struct(
+            (start + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
+            F.when(good, end).otherwise(acc["free"]).alias("free"),
+            F.concat(before, F.coalesce(x["m"], F.lit(""))).alias("before"),
+            F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+        )
+
+    every = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("before"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(text.rlike(kind.pattern), every).otherwise(none)
+
 
 def spans(text: Column, number: int, kind: Kind) -> Column:
     """array<SPAN> of one kind in text. Starts add up the lengths of what matched and of what stands between."""
@@ -111,7 +158,7 @@ def pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and, for each kind, its array<SPAN>. One pass over the texts, no shuffle."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    return rows.select(*keep, *[spans(text, i, k).alias(f"{k.name}_spans") for i, k in enumerate(KINDS)])
+    return rows.select(*keep, *[(iban_spans if k.name == "iban" else spans)(text, i, k).alias(f"{k.name}_spans") for i, k in enumerate(KINDS)])
 
 
 def _said(found: Column) -> Column:
@@ -140,6 +187,7 @@ def _sql() -> str:
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
     }
     number = "regexp_replace(m, '[^0-9]', '', 'g')"
     digit = f"CAST(substr(reverse({number}), i, 1) AS INT)"
