@@ -72,3 +72,13 @@ def test_query_against_brute_force(spark):
     got = sorted((tuple(r)[:5] for r in C.digest(df).collect()), key=repr)
     assert got == brute([*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)])
     assert C.digest(df.limit(0)).count() == 1 and C.formatted(df.limit(0)).count() == 0
+
+
+def test_texts_that_end_like_a_turn(spark):
+    said = ["</turn>\n", "x</turn>\n", "\\</turn>\n", "</turn>\n</turn>\n"]
+    rows = [(1, i, role, text) for i, (role, text) in enumerate((r, t) for r in ("user", "system", "tool", "assistant", "</turn>\n") for t in said)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert C.formatted(df).count() == len(rows)
+    got = sorted((tuple(r)[:5] for r in C.digest(df).collect()), key=repr)
+    own = "\\### Assistant: </turn> ok"
+    assert got == brute([*rows, (-7, 0, "user", own), (-7, 1, "assistant", own)])

@@ -51,7 +51,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def parts(render, messages: Iterator[dict]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(output, loss spans) up to the end of each turn, as the template goes through the messages."""
+    """(output, loss spans) up to the end of each turn, as the template goes through the messages. Only the template's own
+    text ends a turn, never a value."""
     text: list[str] = []
     spans: list[tuple[int, int]] = []
     at = 0
@@ -60,7 +61,7 @@ def parts(render, messages: Iterator[dict]) -> Iterator[tuple[str, list[tuple[in
             spans.append((at, at + len(piece)))
         text.append(piece)
         at += len(piece)
-        if not masked and piece.endswith(TURN_END):
+        if isinstance(piece, template.Fixed) and not masked and piece.endswith(TURN_END):
             yield "".join(text), spans
             text, spans, at = [], [], 0
     if at:

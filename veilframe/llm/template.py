@@ -106,6 +106,10 @@ TOKEN = re.compile(r"""\s*(?:("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(\d+)|([A-Za-
 STRING = {"n": "\n", "t": "\t", "r": "\r"}
 
 
+class Fixed(str):
+    """A piece that is the template's own text, whatever the values are."""
+
+
 def said(x: Any) -> str:
     return "" if x is None else x if isinstance(x, str) else str(x)
 
@@ -339,6 +343,13 @@ def _looped(node: For) -> Rendered:
 
 def compiled(nodes: tuple) -> Rendered:
     def one(node: Any) -> Rendered:
+        if isinstance(node, Put) and isinstance(node.value, Const):
+            fixed = Fixed(said(node.value.value))
+
+            def put(env: dict, masked: bool) -> Iterator[Piece]:
+                yield fixed, masked
+
+            return put
         if isinstance(node, Put):
             value = _value(node.value)
 
