@@ -17,22 +17,54 @@ def corpus(n):
 
 def test_chunks_cover_all_bytes():
     for n in [0, 1, Q.CHUNK, Q.CHUNK + 1, Q.STRIDE * 3 + Q.CHUNK, 5000]:
-        data = bytes(1 + i % 255 for i in range(n))
+        data = bytes(i % 256 for i in range(n))
         got = Q.chunks(data)
         assert len(got) == Q.starts(n)
-        back = np.zeros((len(got) - 1) * Q.STRIDE + Q.CHUNK, np.uint8)
+        seen = set()
         for k, c in enumerate(got):
-            back[k * Q.STRIDE : k * Q.STRIDE + Q.CHUNK] = c
-        assert bytes(back[:n]) == data and not back[n:].any()
+            at = max(0, min(k * Q.STRIDE, n - Q.CHUNK))
+            assert bytes(c[c != Q.END].astype(np.uint8)) == data[at : at + Q.CHUNK]
+            seen |= set(range(at, min(n, at + Q.CHUNK)))
+        assert len(seen) == n
         assert np.array_equal(Q.chunks(data, len(got) - 1), got[-1:])
 
 
+def brute_score(m, data):
+    """The network by its definition, one window of one filter at a time."""
+    n = len(data)
+    begins = [0] if n <= Q.CHUNK else sorted({min(k * Q.STRIDE, n - Q.CHUNK) for k in range(n)})
+    units = []
+    for at in begins:
+        x = [*data[at : at + Q.CHUNK]]
+        live = max(1, min(Q.WINDOWS, -(-len(x) // Q.WINDOW)))
+        x += [Q.END] * (Q.CHUNK - len(x))
+        pooled = [[max(0.0, max(float(sum(m.table[j][x[s + j]][f] for j in range(Q.WIDTH))) for s in range(w * Q.WINDOW, (w + 1) * Q.WINDOW)) + m.bias[f]) for w in range(live)] for f in range(Q.FILTERS)]
+        values = [sum(p) / live for p in pooled] + [max(p) for p in pooled]
+        units.append([max(0.0, sum(v * m.mix[i][u] for i, v in enumerate(values)) + m.mix_bias[u]) for u in range(Q.HIDDEN)])
+    both = [max(u) for u in zip(*units, strict=True)] + [sum(u) / len(units) for u in zip(*units, strict=True)]
+    return 1 / (1 + np.exp(-(sum(v * w for v, w in zip(both, m.out, strict=True)) + m.out_bias[0])))
+
+
+def test_score_against_brute_force():
+    rng = np.random.default_rng(8)
+    m = Q.new_model()
+    m.bias += rng.standard_normal(Q.FILTERS).astype(np.float32) * 0.3
+    texts = [b"", b"\0", b"a", b"ab" * 40, bytes(rng.integers(0, 256, Q.CHUNK)), bytes(rng.integers(0, 256, 900))]
+    assert np.allclose(Q.score(m, texts), [brute_score(m, t) for t in texts], atol=1e-5)
+
+
+def test_nul_characters_hide_nothing():
+    m = Q.new_model()
+    same = b"word " * 28 + bytes(100)
+    assert Q.score(m, [same + b"x" * 60])[0] != Q.score(m, [same + b"q" * 60])[0]
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(2)
     m = Q.new_model()
     m.bias += 0.5
-    x, first, y = rng.integers(97, 123, (5, Q.CHUNK)).astype(np.uint8), np.array([0, 2]), np.array([1, 0], np.float32)
-    x[4, 100:] = 0
+    x, first, y = rng.integers(97, 123, (5, Q.CHUNK)).astype(np.uint16), np.array([0, 2]), np.array([1, 0], np.float32)
+    x[4, 100:] = Q.END
     for p in m.params():
         p[...] = p.astype(np.float32)
 
@@ -40,6 +72,8 @@ def test_gradients_against_differences():
         logit, _ = Q.pooled_logits(m, Q.chunk_values(m, x)[0], first)
         return float(np.mean(np.log1p(np.exp(-logit.astype(np.float64) * (2 * y - 1)))))
 
+    for a, b in zip(Q.gradients(m, x, first, y), Q.gradients(m, x, first, y, block=2), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
     for p, g in zip(m.params(), Q.gradients(m, x, first, y), strict=True):
         for k in np.argsort(-np.abs(g).ravel())[:3]:
             at = np.unravel_index(k, p.shape)

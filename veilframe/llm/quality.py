@@ -1,16 +1,16 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's bytes are cut into overlapping chunks that cover all of it. In a chunk, learned filters of WIDTH bytes slide over
-all positions; their outputs are max-pooled over windows, and the windows' mean and maximum are kept. Beside them stand
-match filters: the share of bytes that equal the byte some positions before, for each lag. A hidden layer combines a
-chunk's values, its units are pooled over the chunks by maximum and mean, and one logistic unit gives the probability.
+all positions; their outputs are max-pooled over windows, and of a filter's windows the mean and the maximum are kept
+(where they are equal in all filters the text repeats itself). A hidden layer combines a chunk's values, its units are
+pooled over the chunks by maximum and mean, and one logistic unit gives the probability.
 
-The model is fitted on at most TRAIN_DOCS labelled documents (those of the smallest hashes of their id), of each at most
-TRAIN_CHUNKS chunks spread over the whole text; that is all the driver gets. Scoring reads every byte of every text.
+The model is fitted on at most TRAIN_DOCS labelled documents (those of the smallest hashes of their id), on the whole text
+of each; that is all the driver gets. Fitting and scoring go through a long text in blocks of chunks.
 
-Definitions. A null or empty text is one chunk without bytes and has a score like any other. Without labelled rows all
-scores are 0.5. Labels that are null are not used. Repeated rows are scored alike; a null id is held in (its text has no
-checksum). No rows: no rows.
+Definitions. A null or empty text is one chunk without bytes and has a score like any other. NUL characters are bytes like
+others: where a text ends is known from its length. Without labelled rows all scores are 0.5. Labels that are null are not
+used. Repeated rows are scored alike; a null id is held in (its text has no checksum). No rows: no rows.
 """
 
 from __future__ import annotations
@@ -25,46 +25,41 @@ from pyspark.sql import functions as F
 
 from .common import own_columns
 
-CHUNK, STRIDE, WIDTH, WINDOW = 252, 224, 5, 8
-SPOTS = CHUNK - WIDTH + 1
-WINDOWS = SPOTS // WINDOW
-FILTERS, HIDDEN = 8, 16
-LAGS = range(2, 34)
-TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, RATE = 3000, 6, 8, 0.01
-#: Chunks that are scored at a time, for a bound on memory.
-BLOCK = 512
+#: WINDOW is a power of two: maxima are taken by halves.
+WIDTH, WINDOW, WINDOWS = 5, 32, 8
+SPOTS = WINDOW * WINDOWS
+CHUNK, STRIDE = SPOTS + WIDTH - 1, SPOTS - WINDOW
+FILTERS, HIDDEN = 16, 16
+#: What stands after a text's last byte.
+END = 256
+TRAIN_DOCS, EPOCHS, RATE = 3000, 14, 0.01
+#: Chunks that are looked at together, for a bound on memory.
+BLOCK = 128
 
 
 def starts(n: int) -> int:
-    """The number of chunks of n bytes: the last one reaches the end."""
+    """The number of chunks of n bytes."""
     return 1 if n <= CHUNK else 1 + -(-(n - CHUNK) // STRIDE)
 
 
 def chunks(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
-    """Chunks first to last - 1 of a text, zeros after its end."""
-    last = starts(len(data)) if last is None else last
-    part = data[first * STRIDE : (last - 1) * STRIDE + CHUNK]
-    padded = np.zeros((last - first - 1) * STRIDE + CHUNK, np.uint8)
-    padded[: len(part)] = np.frombuffer(part, np.uint8)
-    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STRIDE]
-
-
-def matches(x: np.ndarray) -> np.ndarray:
-    """The share of a chunk's bytes that equal the one ``lag`` before, for each lag, and the largest."""
-    size = (x != 0).sum(1)
-    out = np.empty((len(x), len(LAGS) + 1), np.float32)
-    for k, lag in enumerate(LAGS):
-        same = (x[:, lag:] == x[:, :-lag]) & (x[:, lag:] != 0)
-        out[:, k] = same.sum(1, dtype=np.int32) / np.maximum(size - lag, 8)
-    out[:, -1] = out[:, :-1].max(1)
-    return out
+    """Chunks first to last - 1 of a text. They begin STRIDE bytes apart, but the last one ends where the text ends."""
+    n = starts(len(data))
+    last = n if last is None else last
+    if n == 1:
+        out = np.full((1, CHUNK), END, np.uint16)
+        out[0, : len(data)] = np.frombuffer(data, np.uint8)
+        return out
+    at = np.minimum(np.arange(first, last) * STRIDE, len(data) - CHUNK)
+    every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8)[at[0] : at[-1] + CHUNK], CHUNK)
+    return every[at - at[0]].astype(np.uint16)
 
 
 @dataclass
 class Model:
-    table: np.ndarray  # WIDTH x 256 x FILTERS: a filter's weight for each byte at each place
+    table: np.ndarray  # WIDTH x 257 x FILTERS: a filter's weight for each byte, or the end, at each place
     bias: np.ndarray
-    mix: np.ndarray  # chunk values x HIDDEN
+    mix: np.ndarray  # 2 FILTERS x HIDDEN
     mix_bias: np.ndarray
     out: np.ndarray  # 2 HIDDEN
     out_bias: np.ndarray
@@ -75,23 +70,25 @@ class Model:
 
 def new_model(seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
-    wide = 2 * FILTERS + len(LAGS) + 1
     f = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-    return Model(f(0.3, WIDTH, 256, FILTERS), np.zeros(FILTERS, np.float32), f(wide**-0.5, wide, HIDDEN), np.zeros(HIDDEN, np.float32), f(0.2, 2 * HIDDEN), np.zeros(1, np.float32))
+    return Model(f(0.3, WIDTH, END + 1, FILTERS), np.zeros(FILTERS, np.float32), f((2 * FILTERS) ** -0.5, 2 * FILTERS, HIDDEN), np.zeros(HIDDEN, np.float32), f(0.2, 2 * HIDDEN), np.zeros(1, np.float32))
 
 
 def chunk_values(m: Model, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """(values of each chunk, what their gradient needs)."""
-    z = m.table[0][x[:, :SPOTS]]
+    """(values of each chunk, what their gradient needs). A window counts if the text reaches into it."""
+    z = np.take(m.table[0], x[:, :SPOTS], axis=0, mode="clip")
+    part = np.empty_like(z)
     for j in range(1, WIDTH):
-        z += m.table[j][x[:, j : j + SPOTS]]
+        z += np.take(m.table[j], x[:, j : j + SPOTS], axis=0, out=part, mode="clip")
     z = z.reshape(len(x), WINDOWS, WINDOW, FILTERS)
-    pooled = np.maximum(z.max(2) + m.bias, 0)
-    count = np.clip(-(-(x != 0).sum(1) // WINDOW), 1, WINDOWS)
-    live = np.arange(WINDOWS) < count[:, None]
-    pooled *= live[:, :, None]
-    values = np.concatenate([pooled.sum(1) / count[:, None], pooled.max(1), matches(x)], 1).astype(np.float32)
-    return values, (z, pooled, count)
+    top = z
+    while top.shape[2] > 1:
+        half = top.shape[2] // 2
+        top = np.maximum(top[:, :, :half], top[:, :, half:])
+    pooled = np.maximum(top[:, :, 0] + m.bias, 0)
+    count = np.clip(-(-(x != END).sum(1) // WINDOW), 1, WINDOWS)
+    pooled *= (np.arange(WINDOWS) < count[:, None])[:, :, None]
+    return np.concatenate([pooled.sum(1) / count[:, None], pooled.max(1)], 1).astype(np.float32), (z, pooled, count)
 
 
 def pooled_logits(m: Model, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -103,8 +100,25 @@ def pooled_logits(m: Model, values: np.ndarray, first: np.ndarray) -> tuple[np.n
     return both @ m.out + m.out_bias[0], (h, number, top, both)
 
 
-def gradients(m: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    values, (z, pooled, count) = chunk_values(m, x)
+def filter_gradients(x: np.ndarray, needs: tuple, d_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the table and the bias, from the gradient of the chunks' values."""
+    z, pooled, count = needs
+    peak = pooled.max(1, keepdims=True)
+    is_peak = (pooled == peak) & (pooled > 0)
+    d_pool = d_values[:, None, :FILTERS] / count[:, None, None] + is_peak / np.maximum(is_peak.sum(1, keepdims=True), 1) * d_values[:, None, FILTERS:]
+    d_pool = d_pool * (pooled > 0)
+    row, window, unit = np.nonzero(d_pool)
+    spot, g = window * WINDOW + z.argmax(2)[row, window, unit], d_pool[row, window, unit]
+    at = [x[row, spot + j].astype(np.intp) * FILTERS + unit for j in range(WIDTH)]
+    d_table = np.stack([np.bincount(a, g, (END + 1) * FILTERS).reshape(END + 1, FILTERS) for a in at])
+    return d_table.astype(np.float32), d_pool.sum((0, 1))
+
+
+def gradients(m: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, block: int = 8 * BLOCK) -> list[np.ndarray]:
+    """Of the mean loss. More chunks than a block are gone through twice, so that only their values are held."""
+    cuts = range(0, len(x), block)
+    found = [chunk_values(m, x[k : k + block]) for k in cuts] if len(cuts) == 1 else [(chunk_values(m, x[k : k + block])[0], None) for k in cuts]
+    values = np.concatenate([v for v, _ in found])
     logit, (h, number, top, both) = pooled_logits(m, values, first)
     d = ((1 / (1 + np.exp(-logit)) - y) / len(y)).astype(np.float32)
     d_both = d[:, None] * m.out
@@ -113,21 +127,17 @@ def gradients(m: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> list
     d_h = is_top / np.maximum(np.add.reduceat(is_top, first, dtype=np.int32), 1)[of] * d_both[of, :HIDDEN] + d_both[of, HIDDEN:] / number[of, None]
     d_h = (d_h * (h > 0)).astype(np.float32)
     d_values = d_h @ m.mix.T
-    peak = pooled.max(1, keepdims=True)
-    is_peak = (pooled == peak) & (pooled > 0)
-    d_pool = d_values[:, None, :FILTERS] / count[:, None, None] + is_peak / np.maximum(is_peak.sum(1, keepdims=True), 1) * d_values[:, None, FILTERS : 2 * FILTERS]
-    d_pool = d_pool * (pooled > 0)
-    best = z.argmax(2)
-    d_table = np.zeros_like(m.table)
-    row, window, unit = np.nonzero(d_pool)
-    spot, g = window * WINDOW + best[row, window, unit], d_pool[row, window, unit]
-    for j in range(WIDTH):
-        np.add.at(d_table[j], (x[row, spot + j], unit), g)
-    return [d_table, d_pool.sum((0, 1)), values.T @ d_h, d_h.sum(0), both.T @ d, d.sum(keepdims=True)]
+    d_table, d_bias = np.zeros_like(m.table), np.zeros_like(m.bias)
+    for k, (_, needs) in zip(cuts, found, strict=True):
+        part = x[k : k + block]
+        t, b = filter_gradients(part, needs or chunk_values(m, part)[1], d_values[k : k + block])
+        d_table += t
+        d_bias += b
+    return [d_table, d_bias, values.T @ d_h, d_h.sum(0), both.T @ d, d.sum(keepdims=True)]
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Model | None:
-    """Adam over batches of 32 documents; texts: the chunks of each."""
+def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Model | None:
+    """Adam over batches of 32 documents."""
     if not len(y):
         return None
     m, rng, step = new_model(), np.random.default_rng(seed), 0
@@ -137,8 +147,8 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
         rate = RATE * (1 - epoch / epochs) ** 0.5
         for batch in np.array_split(rng.permutation(len(y)), -(-len(y) // 32)):
             step += 1
-            at = np.cumsum([0, *(len(texts[i]) for i in batch[:-1])])
-            for p, g, a, b in zip(m.params(), gradients(m, np.concatenate([texts[i] for i in batch]), at, y[batch]), first, second, strict=True):
+            at = np.cumsum([0, *(starts(len(texts[i])) for i in batch[:-1])])
+            for p, g, a, b in zip(m.params(), gradients(m, np.concatenate([chunks(texts[i]) for i in batch]), at, y[batch]), first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
@@ -182,29 +192,21 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in batch.column(2):
-            data = _bytes(text.as_py())
-            n = starts(len(data))
-            out.append(b"".join(chunks(data, int(k), int(k) + 1).tobytes() for k in np.unique(np.linspace(0, n - 1, min(n, TRAIN_CHUNKS)).astype(int))))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
-
-
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """docs (doc_id, text, ...), labels (doc_id, quality, ...); rows that are held out are not looked at."""
+    """docs (doc_id, text, ...), labels (doc_id, quality, ...); rows that are held out are not looked at.
+
+    The driver gets TRAIN_DOCS rows at most, whatever ids repeat; their texts are its memory.
+    """
     known = own_columns(labels, "doc_id", "quality").where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAIN_DOCS)
     # at most TRAIN_DOCS rows, so the broadcast is bounded
     rows = own_columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
-    rows = rows.mapInArrow(_samples, "doc_id long, quality int, chunks binary").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.quality, bytes(r.chunks)))[:TRAIN_DOCS]
-    return fit([np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r.quality for r in rows], np.float32))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "text").limit(TRAIN_DOCS).collect()
+    return fit([_bytes(r.text) for r in rows], np.array([r.quality for r in rows], np.float32))
 
 
 def _scored(m: Model | None, extra: int):
@@ -217,7 +219,7 @@ def _scored(m: Model | None, extra: int):
 
 
 def quality(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score, a row for each row of docs. No shuffle; the model is some 50 KB."""
+    """The columns ``keep`` and score, a row for each row of docs. No shuffle; the model is some 90 KB."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_scored(model, len(keep)), f"{kinds}, score double")
