@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import own_columns, spread_join, written
 
 MIN_CHARS, MIN_DOCS = 10, 2
 
@@ -64,27 +64,33 @@ def _reassembled(min_chars: int, extra: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(the keys of each document, the keys that recur with their smallest id).
+def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(key, keeper, n) of keys (key, doc_id): the keys that at least min_docs ids hold, the smallest of these and the rows.
 
-    A key is counted in two steps, by (key, id) and then by key, each with partial sums before its shuffle: a line that
-    all documents hold costs a row for each task, not a hot task.
+    Partial sums come before the shuffle, so a line that all documents hold costs a row for each task. Two ids hold a key if
+    its smallest id isn't its largest; more than two are counted by (key, id) first.
     """
-    keys = own_columns(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_hashes(min_chars), "doc_id long, key binary").distinct()
-    common = keys.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    return keys, common
+    if min_docs > 2:
+        keys = keys.distinct()
+    found = keys.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    return found.where("keeper < last" if min_docs == 2 else F.col("n") >= min_docs).drop("last")
+
+
+def lost_keys(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, _drop): the keys that a document loses, fewer than its lines. keys: a table."""
+    common = written(repeated_lines(keys, min_docs), "common-lines")
+    lost = spread_join(keys, common, "key", keys.count()).where(F.col("doc_id") != F.col("keeper"))
+    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, the columns ``keep``, kept_text, n_lines, n_dropped), a row for each row of docs (doc_id, text, ...).
 
-    An empty table gives an empty table. Only hashes and ids are shuffled for the count; each text moves once, to meet
-    the hashes that its document loses.
+    An empty table gives an empty table. Lines are hashed once, to a table in the shared folder; only hashes and ids are
+    shuffled for the count, and each text moves once, to meet the hashes that its document loses.
     """
-    keys, common = repeated_lines(docs, min_chars, min_docs)
-    lost = keys.join(common, "key").where(F.col("doc_id") != F.col("keeper"))
-    # a document's lost keys are fewer than its lines, so this list is bounded by its text
-    lost = lost.groupBy("doc_id").agg(F.collect_list("key").alias("_drop"))
+    keys = own_columns(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_hashes(min_chars), "doc_id long, key binary")
+    lost = lost_keys(written(keys, "line-keys"), min_docs)
     head = ["doc_id", *keep]
     joined = own_columns(docs, *head, "text").join(lost, "doc_id", "left").select(*head, "text", "_drop")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(head)])
