@@ -71,8 +71,11 @@ def test_shards_meet_every_pair():
         assert homes[i] in where[j] or homes[j] in where[i]
 
 
-def test_components_over_shards(spark, monkeypatch):
-    monkeypatch.setattr(S, "SHARD_ROWS", 40)
+@pytest.mark.parametrize(("rows", "most"), [(40, 1 << 15), (10, 4)])
+def test_components_over_shards(spark, monkeypatch, rows, most):
+    """Also of shards that are dealt into parts, as there may be no more of them."""
+    monkeypatch.setattr(S, "SHARD_ROWS", rows)
+    monkeypatch.setattr(S, "MOST_SHARDS", most)
     rng = np.random.default_rng(5)
     points = clustered(rng, 100, 4)
     ids = rng.permutation(len(points))

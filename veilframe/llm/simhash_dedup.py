@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import own_columns, written
+from .common import own_columns, spread_join, written
 
 WORDS, RADIUS, SEED = 3, 2, 42
-#: Residents of a shard, about; points of the sample for each shard; most shards that the driver plans.
+#: Residents of a shard, about; points of the sample for each shard; most shards that the driver plans. Beyond SHARD_ROWS
+#: times MOST_SHARDS points a shard is dealt into parts, each pair of which is a task's.
 SHARD_ROWS, SAMPLE_PER_SHARD, MOST_SHARDS = 2_000, 64, 1 << 15
 #: Pairs that are compared outright rather than split further.
 BLOCK = 1 << 17
@@ -212,14 +213,20 @@ def _linked(radius: int):
 def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), structs of (rep, fp): spanning links between distinct points (fp, rep) at most radius apart, b the smaller.
 
-    The driver sees a sample of SAMPLE_PER_SHARD points for each of at most MOST_SHARDS shards.
+    The driver sees about SAMPLE_PER_SHARD points for each of at most MOST_SHARDS shards: those whose hash a number divides.
     """
-    shards = max(1, min(MOST_SHARDS, points.count() // SHARD_ROWS))
-    sample = [r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(shards * SAMPLE_PER_SHARD).collect()] if shards > 1 else []
-    node = tree(np.array(sample, np.int64).view(np.uint64), shards)
+    n = points.count()
+    shards = max(1, min(MOST_SHARDS, n // SHARD_ROWS))
+    every = max(1, n // (shards * SAMPLE_PER_SHARD))
+    sample = [r.fp for r in points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).collect()] if shards > 1 else []
+    node = tree(np.sort(np.array(sample, np.int64)).view(np.uint64), shards)
     routed = points.select("fp", "rep").mapInArrow(_routed(node, radius), "shard int, home boolean, fp long, rep long")
+    parts = -(-n // (shards * 2 * SHARD_ROWS)) if shards == MOST_SHARDS else 1
+    part, other = F.pmod(F.xxhash64("fp"), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    if parts > 1:
+        routed = routed.withColumn("other", other).withColumns({"i": F.least(part, "other"), "j": F.greatest(part, "other")})
     kind = "struct<rep: long, fp: long>"
-    return routed.groupBy("shard").applyInArrow(_linked(radius), f"a {kind}, b {kind}")
+    return routed.groupBy("shard", *(("i", "j") if parts > 1 else ())).applyInArrow(_linked(radius), f"a {kind}, b {kind}")
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -237,11 +244,11 @@ def simhash_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     Texts are read once. Fingerprints, links and components are small tables in the shared folder.
     """
     prints = written(fingerprints(docs, words), "simhash-prints")
-    points = written(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")), "simhash-points")
+    points = written(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.count("*").alias("n")), "simhash-points")
     roots = components.roots(near_links(points, radius))
     roots = roots.select(F.col("a.fp").alias("fp"), F.col("b.rep").alias("root"))
-    named = points.join(roots, "fp", "left").select("fp", F.nullif(F.coalesce("root", "rep"), F.lit(NO_ID)).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = points.join(roots, "fp", "left").select("fp", "n", F.nullif(F.coalesce("root", "rep"), F.lit(NO_ID)).alias("component_id"))
+    return spread_join(prints, named, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
