@@ -49,8 +49,8 @@ def test_stages(spark, folder):
         elif name == "mixing":
             times = Counter(r.doc_id for r in rows)
             assert max(times.values()) <= 2
-            for r in mixing.targets(mixing.mix(docs).selectExpr("source as src", "size")).collect():
-                words = sum(len((x.text or "").split()) for x in rows if x.source == r.src)
+            for r in mixing.groups(docs).select("source", "target").distinct().collect():
+                words = sum(len((x.text or "").split()) for x in rows if x.source == r.source)
                 assert abs(words - r.target) <= 120
         else:
             fill = Counter()
