@@ -1,9 +1,9 @@
 """License scans: ordered signature rules behind a keyword gate, overlaps resolved by priority and containment. Native only.
 
 A text is put into normal form (words in lower case with one space between them), on which rules are regular expressions.
-A rule family is looked at only where one of its needles occurs, each match of its rules having one. Each detection is an interval of words; one that lies within
-another of no lower priority goes, and so does the lower of two equal intervals. Base detections (three fixed phrases)
-always stay.
+A rule family is looked at only where one of its needles occurs, each match of its rules having one. Each detection is an
+interval of words; one that lies within another of no lower priority goes, and so does the lower of two equal intervals.
+Base detections (three fixed phrases) always stay.
 
 Definitions. A null or empty text has no words: counts 0, words null, labels empty, score 0. Word numbers start at 0.
 Rows are independent: repeated rows give repeated results, a null id stays null, other columns are not looked at.
@@ -19,6 +19,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from .common import own_columns
 
 #: What separates words, over lower-cased text.
@@ -26,6 +27,7 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+BASE_PRIORITY = 10
 
 
 @dataclass(frozen=True)
@@ -122,6 +124,7 @@ def _rules() -> tuple[Rule, ...]:
 
 
 RULES = _rules()
+DETECTION = "struct<start:int,end:int,priority:int,label:string>"
 #: One look for all families: no text without one of these stems has a detection.
 GATE = r"licen[sc]e|public|apache|bsd|unlicense|spdx|creative commons|reserved|copyright|permission|redistribution|source|proprietary|unauthorized|cc|cecill|gnu|warranty|name of|reproduced|by "
 
@@ -158,10 +161,12 @@ def lower_ascii_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), GAP, " ")), F.lit(" "))
 
 
-def _places(norm: Column, pattern: str) -> tuple[Column, Column]:
-    """(what matched, what stands between), each in order."""
-    bounded = f"(?<= )(?:{pattern})(?= )"
-    return F.regexp_extract_all(norm, F.lit(bounded), F.lit(0)), F.split(norm, bounded, -1)
+def spelled(pattern: str) -> list[str]:
+    """All that a rule can match: its optional groups, which hold no others but in their alternatives, taken and left out."""
+    m = re.search(r"\(\?:((?:[^()]|\([^()]*\)\??)*)\)\?", pattern)
+    if not m:
+        return [pattern]
+    return [x for choice in ("", *m[1].split("|")) for x in spelled(pattern[: m.start()] + choice + pattern[m.end() :])]
 
 
 def _words(x: Column) -> Column:
@@ -169,41 +174,43 @@ def _words(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" ")))
 
 
-def _detections(norm: Column, pattern: str, label) -> Column:
-    """array<struct<start, end, priority, label>> in words, end exclusive."""
-    found, between = _places(norm, pattern)
-    zipped = F.arrays_zip(found.alias("m"), between.alias("g"))
+def _detections(norm: Column, hit: Column, groups: list[tuple[Column, list[Rule]]]) -> Column:
+    """array<struct<start, end, rule>>, in words, end exclusive: what the rules of each group find where its gate is open.
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + _words(x["g"])
-        size = _words(x["m"]) + 1
-        name, priority = label(x["m"])
-        row = F.struct((start - 1).alias("start"), (start - 1 + size).alias("end"), priority.alias("priority"), name.alias("label"))
-        return F.struct((start + size - 1).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
-
-    empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-
-
-def _resolved(rules: list[Rule]):
-    """The label and priority of a match: those of the first rule that fits it as a whole."""
-
-    def of(m: Column) -> tuple[Column, Column]:
-        name = priority = None
-        for r in rules:
-            fits = m.rlike(f"^(?:{r.pattern})$")
-            name = F.when(fits, F.lit(r.label)) if name is None else name.when(fits, F.lit(r.label))
-            priority = F.when(fits, F.lit(r.priority)) if priority is None else priority.when(fits, F.lit(r.priority))
-        return name, priority
-
-    return of
+    rule counts through all groups: the first rule of the group that fits a match as a whole, by a table of all that rules
+    can match. One fold over matches serves all groups, so that the plan stays small.
+    """
+    table: dict[str, int] = {}
+    looks, number = [], 0
+    for k, (gate, rules) in enumerate(groups):
+        for i, r in enumerate(rules):
+            for words in spelled(r.pattern):
+                table.setdefault(f"{k}:{words}", number + i)
+        number += len(rules)
+        bounded = f"(?<= )(?:{'|'.join(r.pattern for r in rules)})(?= )"
+        zipped = F.arrays_zip(F.regexp_extract_all(norm, F.lit(bounded), F.lit(0)).alias("m"), F.split(norm, bounded, -1).alias("g"))
+        looks.append(F.struct(F.lit(str(k)).alias("k"), F.when(hit & gate, zipped).otherwise(F.array().cast("array<struct<m:string,g:string>>")).alias("z")))
+    # a literal, which is made into a map once
+    known = F.str_to_map(F.lit("\n".join(f"{k}={v}" for k, v in table.items())), F.lit("\n"), F.lit("="))
+
+    def found(look: Column) -> Column:
+        def step(acc: Column, x: Column):
+            start = acc["at"] + _words(x["g"])
+            end = start + _words(x["m"])
+            rule = F.try_element_at(known, F.concat_ws(":", look["k"], x["m"])).cast("int")
+            return {"at": F.coalesce(end, start)}, F.struct((start - 1).alias("start"), end.alias("end"), rule.alias("rule")), x["m"].isNotNull()
+
+        return arrays.emitted(look["z"], {"at": F.lit(0)}, step, "struct<start:int,end:int,rule:int>")
+
+    open_ = F.filter(F.array(*looks), lambda x: F.size(x["z"]) > 1)
+    return F.flatten(F.transform(open_, found))
 
 
 def survivors(found: Column) -> Column:
-    """Without intervals that lie within an earlier-starting or equal one of no lower priority.
+    """Without intervals that lie within another one of no lower priority; of equal ones the first label stays.
 
-    Sorted by start, longest and highest first, so one pass with the furthest end so far for each priority kept is
-    enough: an interval goes if some kept one with at least its priority reaches its end.
+    Sorted by start, longest, highest and first label first, an interval lies only within ones before it. One pass keeps the
+    furthest end of each priority so far: an interval goes if some priority not below its own reaches its end.
     """
     order = lambda a, b: (
         F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1))
@@ -212,18 +219,17 @@ def survivors(found: Column) -> Column:
         .when(a["label"] != b["label"], F.when(a["label"] < b["label"], -1).otherwise(1))
         .otherwise(0)
     )
-    empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        within = (acc["end"] >= x["end"]) & (acc["priority"] >= x["priority"])
-        wider = x["end"] > acc["end"]
-        return F.struct(
-            F.when(wider, x["end"]).otherwise(acc["end"]).alias("end"),
-            F.when(wider, x["priority"]).otherwise(acc["priority"]).alias("priority"),
-            F.when(within, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"),
-        )
+    def kept(levels: Column) -> Column:
+        def step(acc: Column, x: Column):
+            rank = F.array_position(levels, x["priority"]).cast("int")
+            reach = F.array_max(F.slice(acc["far"], rank, F.size(levels)))
+            far = F.transform(acc["far"], lambda v, i: F.when(i + 1 == rank, F.greatest(v, x["end"])).otherwise(v))
+            return {"far": far}, x, reach < x["end"]
+
+        return arrays.emitted(F.array_sort(found, order), {"far": F.array_repeat(F.lit(-1), F.size(levels))}, step, DETECTION)
 
-    return F.aggregate(F.array_sort(found, order), F.struct(F.lit(-1).alias("end"), F.lit(-1).alias("priority"), empty.alias("out")), step, lambda acc: acc["out"])
+    return arrays.bound(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["priority"]))), kept)
 
 
 def license_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -231,14 +237,17 @@ def license_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 
     One pass over the texts, no shuffle. score is the highest priority among what was found, out of 100.
     """
-    norm = own_columns(docs, *keep, "text").withColumn("_n", lower_ascii_words(F.col("text"))).drop("text")
     n = F.col("_n")
-    gated = norm.withColumn("_hit", n.rlike(GATE))
-    none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
-    base = [F.when(F.col("_hit") & n.contains(f" {p} "), _detections(n, p, lambda m, name=name: (F.lit(name), F.lit(10)))).otherwise(none) for p, name in BASE]
     has = lambda k, rules: reduce(Column.__or__, [n.contains(x) for x in needles(k, rules)])
-    own = [F.when(F.col("_hit") & has(k, rules), _detections(n, "|".join(r.pattern for r in rules), _resolved(rules))).otherwise(none) for k, rules in _groups()]
-    found = gated.select(*keep, F.when(F.length(n) > 2, _words(n) - 1).otherwise(F.lit(0)).cast("long").alias("n_words"), F.when(F.col("_hit"), F.concat(*base)).otherwise(none).alias("_base"), F.when(F.col("_hit"), F.concat(*own)).otherwise(none).alias("_own"))
+    groups = [(n.contains(f" {p} "), [Rule(name, p, p, BASE_PRIORITY)]) for p, name in BASE] + [(has(k, rules), rules) for k, rules in _groups()]
+    every = [r for _, rules in groups for r in rules]
+    priorities = F.split(F.lit(",".join(str(r.priority) for r in every)), ",").cast("array<int>")
+    labels = F.split(F.lit(",".join(r.label for r in every)), ",")
+    said = lambda x: F.struct(x["start"], x["end"], F.get(priorities, x["rule"]).alias("priority"), F.get(labels, x["rule"]).alias("label"))
+    none = F.array().cast(f"array<{DETECTION}>")
+    found = own_columns(docs, *keep, "text").select(*keep, lower_ascii_words(F.col("text")).alias("_n")).withColumn("_hit", n.rlike(GATE))
+    found = found.select(*keep, F.when(F.length(n) > 2, _words(n) - 1).otherwise(F.lit(0)).cast("long").alias("n_words"), _detections(n, F.col("_hit"), groups).alias("_all"))
+    found = found.select(*keep, "n_words", *[F.transform(F.filter("_all", test), said).alias(name) for name, test in (("_base", lambda x: x["rule"] < len(BASE)), ("_own", lambda x: x["rule"] >= len(BASE)))])
     found = found.withColumn("detections", F.when(F.size("_own") > 0, survivors(F.col("_own"))).otherwise(none))
     names = lambda c: F.array_distinct(F.transform(c, lambda x: x["label"]))
     starts = F.transform("_base", lambda x: x["start"].cast("long"))
@@ -262,7 +271,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def _sql() -> str:
     """The same in SQL. Words stand between two blanks there, so that neighbouring matches needn't share one."""
     double = lambda p: p.replace(" ", "  ")
-    groups = [(p, p, f"'{name}'", "10", True) for p, name in BASE]
+    groups = [(p, p, f"'{name}'", str(BASE_PRIORITY), True) for p, name in BASE]
     for keyword, rules in _groups():
         whole = " ".join(f"WHEN regexp_full_match(m, ' (?:{double(r.pattern)}) ') THEN" + " {}" for r in rules)
         name, priority = whole.format(*(f"'{r.label}'" for r in rules)), whole.format(*(r.priority for r in rules))
@@ -275,16 +284,15 @@ def _sql() -> str:
   SELECT doc_id, {str(base).lower()} AS base, s // 2 AS s, s // 2 + {count("m")} // 2 AS e, {priority} AS priority, {name} AS label FROM (
     SELECT doc_id, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: {count("x")})) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: {count("x")})), 0) AS s FROM (
       SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(w, '{p}') AS ms, regexp_split_to_array(w, '{p}') AS gs FROM d WHERE contains(w, '{double(" " + keyword if base else keyword)}'))))""")
-    return f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') AS x FROM documents),
+    return f"""WITH t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') AS x FROM documents),
 d AS (SELECT doc_id, CASE WHEN trim(x) = '' THEN '' ELSE ' ' || replace(trim(x), ' ', '  ') || ' ' END AS w FROM t),
 hit AS ({" UNION ALL ".join(parts)}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, priority DESC, label) AS n FROM hit WHERE NOT base),
 walk AS (
-  SELECT doc_id, n, label, priority, e AS far, priority AS top, true AS stays FROM ranked WHERE n = 1
-  UNION ALL
-  SELECT r.doc_id, r.n, r.label, r.priority, greatest(w.far, r.e), CASE WHEN r.e > w.far THEN r.priority ELSE w.top END, NOT (w.far >= r.e AND w.top >= r.priority) FROM walk w JOIN ranked r ON r.doc_id = w.doc_id AND r.n = w.n + 1
+  SELECT * FROM ranked x WHERE NOT EXISTS (SELECT 1 FROM ranked y WHERE y.doc_id = x.doc_id AND y.n <> x.n AND y.s <= x.s AND y.e >= x.e AND y.priority >= x.priority
+    AND (y.s < x.s OR y.e > x.e OR y.priority > x.priority OR y.n < x.n))
 ), every AS (
-  SELECT doc_id, true AS base, s, label, priority FROM hit WHERE base UNION ALL SELECT doc_id, false, NULL, label, priority FROM walk WHERE stays
+  SELECT doc_id, true AS base, s, label, priority FROM hit WHERE base UNION ALL SELECT doc_id, false, NULL, label, priority FROM walk
 )
 SELECT d.doc_id, any_value(CAST({count("w")} // 2 AS BIGINT)) AS n_words, count(*) FILTER (WHERE base) AS n_base, CAST(min(s) AS BIGINT) AS first_word, CAST(max(s) AS BIGINT) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(priority), 0) / 100::DOUBLE AS score
