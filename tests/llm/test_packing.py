@@ -75,3 +75,19 @@ def test_pieces_and_sequences(spark):
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blanks_without_end():
+    """A run that the fast encoder refuses has the library's ids."""
+    path = tokens.default_path()
+    text = "a" + " " * 2_000_000 + "b c"
+    got = tokens.ids(path, text)
+    assert got == tokens.library(path).encode(text, add_special_tokens=False).ids and got[-1:] == tokens.ids(path, " c")
+    for unit in ("x", "1", "!", "\n", "é"):
+        assert tokens.ids(path, unit * 300_000) == tokens.library(path).encode(unit * 300_000, add_special_tokens=False).ids
+
+
+def test_equal_rows(spark):
+    df = spark.createDataFrame([(None, "the same row")] * 700 + [(1, "one")], "doc_id long, text string").repartition(2)
+    got = P.pack(df).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 701

@@ -13,6 +13,7 @@ they stand. No rows: no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,9 @@ from . import tokens
 from .common import own_columns, written
 
 CAPACITY, CLOSING = 1024, 2
-#: Rows that one sorted part of a length has, about.
-PART_ROWS = 2_000
+#: Rows that one sorted part of a length has at least, about. A length of n rows has the square root of n parts at most, so
+#: neither a part nor the list of a length's parts outgrows a task.
+PART_ROWS = 250
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -38,15 +40,17 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int, closing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                number += 1
                 ids = np.array([*tokens.ids(path, text.as_py() or ""), closing], "<u4")
                 for k, (start, length) in enumerate(cuts(len(ids), capacity)):
-                    for column, value in zip(rows, (doc_id.as_py(), k, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
+                    for column, value in zip(rows, (doc_id.as_py(), k, start, length, zlib.crc32(ids[start : start + length].tobytes()), number), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "number"])
 
     return run
 
@@ -130,17 +134,19 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, clo
     Each text is encoded once; the pieces' ids, lengths and checksums go to a table in the shared folder. The driver gets
     the histogram of lengths: fewer than ``capacity`` rows.
     """
-    pieces = own_columns(docs, "doc_id", "text").mapInArrow(_pieces(path or tokens.default_path(), capacity, closing), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = own_columns(docs, "doc_id", "text").mapInArrow(_pieces(path or tokens.default_path(), capacity, closing), "doc_id long, piece int, start long, length long, ids_crc32 long, number long")
     pieces = written(pieces, "pack-pieces")
     short = pieces.where(F.col("length") < capacity)
     histogram = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, sequences = plan(histogram, capacity)
-    parts = -(-max(histogram.values(), default=1) // PART_ROWS)
-    short = short.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    most = max(histogram.values(), default=1)
+    parts = -(-most // max(PART_ROWS, math.isqrt(most)))
+    # number, a row's place in the task that encoded it, keeps equal rows from meeting in one part
+    short = short.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "number"), F.lit(parts)))
     before = short.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = before.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = short.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     placed = ranked.mapInArrow(_placed(runs), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + sequences).withColumn("offset", F.lit(0).cast("long"))
+    full = pieces.where(F.col("length") == capacity).drop("number").withColumn("sequence_id", F.monotonically_increasing_id() + sequences).withColumn("offset", F.lit(0).cast("long"))
     return placed.unionByName(full)

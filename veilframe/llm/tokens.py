@@ -2,7 +2,7 @@
 
 The vocabulary, its ranks and its special tokens are read from a tokenizer file of the ``tokenizers`` library, whose ids
 these are; the encoding itself is done by ``tiktoken``, which gives the same ids several times faster (a test holds the
-two against each other).
+two against each other). Its pattern can't go through blanks in a row without end; such a text is encoded by ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -40,5 +40,15 @@ def encoding(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.lru_cache(2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def ids(path: str, text: str) -> list[int]:
-    return encoding(path).encode(text, allowed_special="all", disallowed_special=())
+    try:
+        return encoding(path).encode(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        return library(path).encode(text, add_special_tokens=False).ids
