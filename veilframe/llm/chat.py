@@ -32,6 +32,8 @@ TURN_END = "</turn>\n"
 TURN = re.compile(r"<turn> ([^\\\n]*(?:\\.[^\\\n]*)*)\n([^\\<]*(?:\\.[^\\<]*)*)</turn>\n", re.S)
 #: Characters of output that a batch of rows holds, about.
 BATCH_CHARS = 4_000_000
+#: Conversations that a batch of digests holds.
+BATCH_ROWS = 10_000
 
 PART = "conv_id long, part long, formatted string, loss array<struct<start: long, end: long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -116,6 +118,12 @@ def read_turns(output: str) -> list[tuple[str, str]]:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each conversation; its digests grow part by part."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
     out = []
     for conv, rows in groupby(_rows(batches), lambda r: r[0]):
         turns, loss, n, lost, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
@@ -129,10 +137,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lost += len(said)
                 loss.update(said.encode("utf-8", "surrogatepass"))
         out.append((conv, n, turns.hexdigest(), lost, loss.hexdigest(), size))
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    for k in range(0, len(out), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[k : k + 10_000]], t) for i, t in enumerate(kinds)], names)
+        if len(out) == BATCH_ROWS:
+            yield batch(out)
+            out = []
+    if out:
+        yield batch(out)
 
 
 def read_back(output: DataFrame) -> DataFrame:
