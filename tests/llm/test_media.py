@@ -78,3 +78,23 @@ def test_sniff_operator(spark):
     got = {r.id: (r.type, r.corrected, [(c.type, c.start, c.end) for c in r.carved]) for r in M.sniff(df).collect()}
     assert got == {1: ("png", "png", []), 2: (None, "gif", []), 3: ("", None, [("gif", 2, 2 + len(SAMPLES["gif"]))])}
     assert M.sniff(df.limit(0)).count() == 0
+
+
+def test_many_zip_signatures_in_time():
+    import time
+
+    data = b"PK\x03\x04" * 30_000 + b"PK\x05\x06" + b"\xff" * 18
+    began = time.perf_counter()
+    assert M.media_in(data * 4) == [] and time.perf_counter() - began < 5
+
+
+def test_features_against_plain_python():
+    import math
+    import random
+
+    data = bytes(random.Random(3).choices(range(32, 200), k=576))
+    mean = sum(x - 128 for x in data) / len(data)
+    rms = math.sqrt(sum((x - 128) ** 2 for x in data) / len(data))
+    crossings = sum((a >= 128) != (b >= 128) for a, b in zip(data, data[1:]))
+    entropy = -sum(data.count(x) / len(data) * math.log2(data.count(x) / len(data)) for x in set(data))
+    assert M.features("wav", 2, data) == f"wav:2:{mean:.3f}:{rms:.3f}:{crossings}:{entropy:.4f}"

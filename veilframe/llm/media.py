@@ -124,15 +124,25 @@ def bmp_end(b: bytes, at: int) -> int | None:
     return at + size if good and size >= offset + (width * bits + 31) // 32 * 4 * abs(height) else None
 
 
+@functools.lru_cache(1)
+def zip_ends(b: bytes) -> dict[int, int]:
+    """From where an archive begins to where it ends: what each end record that a directory stands before says of itself.
+
+    Records are looked at once for a value, however many entries it has; of those of one beginning the first counts.
+    """
+    out: dict[int, int] = {}
+    k = -1
+    while (k := b.find(b"PK\x05\x06", k + 1)) >= 0 and k + 22 <= len(b):
+        size, offset, note = struct.unpack_from("<IIH", b, k + 12)
+        at = k - size - offset
+        if at >= 0 and k + 22 + note <= len(b) and (size == 0 or b[k - size : k - size + 4] == b"PK\x01\x02"):
+            out.setdefault(at, k + 22 + note)
+    return out
+
+
 def zip_end(b: bytes, at: int) -> int | None:
     """The end record that points back to a directory which begins after this first entry."""
-    k = at
-    while (k := b.find(b"PK\x05\x06", k)) >= 0 and k + 22 <= len(b):
-        size, offset, note = struct.unpack_from("<IIH", b, k + 12)
-        if at + offset + size == k and (size == 0 or b[at + offset : at + offset + 4] == b"PK\x01\x02") and k + 22 + note <= len(b):
-            return k + 22 + note
-        k += 4
-    return None
+    return zip_ends(b).get(at)
 
 
 def pdf_end(b: bytes, at: int) -> int | None:
