@@ -18,10 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from .common import own_columns
 
-#: Characters before and after a span in which context words count.
-NEARBY = 40
+#: Characters before and after a span in which context words count; characters that an IBAN may have at most.
+NEARBY, LONGEST = 40, 50
 SPAN = "struct<start:int,kind:int,end:int,score:double>"
 
 
@@ -57,6 +58,11 @@ def ssn_parts(m: Column) -> Column:
     return ~m.rlike("^(?:000|666|9)") & ~m.rlike("^....00") & ~m.endswith("0000")
 
 
+def mixed(m: Column) -> Column:
+    """Something that was made, not a word: letters and digits in what follows the name, or a known form."""
+    return m.rlike("[:=].*[0-9]") & m.rlike("[:=].*[A-Za-z]") | m.rlike("^(?:AKIA|ghp_|-----)")
+
+
 def always(m: Column) -> Column:
     return F.lit(True)
 
@@ -80,9 +86,10 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++", luhn, 0.8, "card|visa|master|credit|debit|carte|tarjeta|karte"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", phone_digits, 0.6, "phone|tel|call|mobile|fax|whatsapp"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?s:.?)))[A-Z]{2}", mod97, 0.9, "iban|account|bank|konto|compte|cuenta", "[A-Za-z0-9]"),
+    Kind("secret", r"[:=]|AKIA|ghp_|-----", r"(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x22']?\x20?[:=]\x20?[\x22']?[A-Za-z0-9+/_=-]{16,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)", mixed, 0.8, "key|login|account|auth|bearer"),
     Kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{3}-[0-9]{2}-[0-9]{4}", ssn_parts, 0.5, "ssn|social security|tax", "[0-9-]"),
 )
-BASE = 4
+BASE, IBAN = 4, 4
 
 #: The length of an IBAN by its country.
 IBAN_SIZES = {country: int(size) for size, countries in (x.split(":") for x in (
@@ -92,73 +99,80 @@ IBAN_SIZES = {country: int(size) for size, countries in (x.split(":") for x in (
 )) for country in countries.split()}
 
 
-def iban_spans(text: Column, number: int, kind: Kind) -> Column:
-    """array<SPAN> of the IBANs. A match is the first two letters; what may follow is captured, so that a refused proposal
-    covers nothing."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    zipped = F.arrays_zip(found.alias("m"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)).alias("tail"), F.split(text, kind.pattern, -1).alias("g"))
-    none = F.array().cast(f"array<{SPAN}>")
+def iban_size(tail: Column) -> Column:
+    """Of the IBAN that tail begins with; null if there is none."""
     sizes = F.create_map(*[F.lit(x) for item in IBAN_SIZES.items() for x in item])
+    country = F.try_element_at(sizes, F.left(tail, F.lit(2)))
+    one = F.lit(1)
+
+    def ends(n: Column) -> Column:
+        border = F.substr(tail, n, one).rlike("[A-Z0-9]") & ~F.substr(tail, n + 1, one).rlike(KINDS[IBAN].neighbour)
+        own = F.length(F.replace(F.left(tail, n), F.lit(" ")))
+        return border & (own == F.coalesce(country, own))
+
+    lengths = F.filter(F.sequence(F.length(tail), F.lit(15), F.lit(-1)), ends)
+    return F.get(F.filter(lengths, lambda n: mod97(F.left(tail, n))), F.lit(0))
+
+
+def _of(number: Column, values: list[Column]) -> Column:
+    """The value of a kind, only that one being computed."""
+    out = F.when(number == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(number == i, v)
+    return out
+
+
+def spans(text: Column) -> Column:
+    """array<SPAN> of all kinds in text, kind by kind, each by start.
+
+    Starts add up the lengths of what matched and of what stands between. Of an IBAN the match is its first two letters; what
+    may follow is captured, so that a refused proposal covers nothing.
+    """
+    row = "struct<m:string,g:string,tail:string>"
+    looks = []
+    for i, k in enumerate(KINDS):
+        found = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
+        tail = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(1)) if i == IBAN else F.array().cast("array<string>")
+        zipped = F.arrays_zip(found.alias("m"), F.split(text, k.pattern, -1).alias("g"), tail.alias("tail"))
+        looks.append(F.struct(F.lit(i).alias("k"), F.when(text.rlike(k.gate), zipped).otherwise(F.array().cast(f"array<{row}>")).alias("z")))
+
+    def following(z: Column) -> Column:
+        """What stands after each match, from the last one back."""
+
+        def step(acc: Column, x: Column):
+            after = F.left(F.concat(x["g"], F.coalesce(x["m"], F.lit("")), acc["h"]), F.lit(NEARBY + LONGEST))
+            return {"h": after}, F.struct(x["m"], x["g"], x["tail"], acc["h"].alias("after")), None
+
+        return F.reverse(arrays.emitted(F.reverse(z), {"h": F.lit("")}, step, row[:-1] + ",after:string>"))
+
+    def kind_spans(look: Column) -> Column:
+        k = look["k"]
+
+        def step(acc: Column, x: Column):
+            start = acc["at"] + F.length(x["g"])
+            size = F.length(x["m"])
+            whole = F.when(k == IBAN, iban_size(x["tail"])).otherwise(size)
+            before = F.right(F.concat(acc["before"], x["g"]), F.lit(NEARBY))
+            after = F.substr(x["after"], whole - size + 1, F.lit(NEARBY))
+            beside = _of(k, [~before.rlike(f"{c.neighbour}$") & ~after.rlike(f"^{c.neighbour}") if c.neighbour and i != IBAN else F.lit(True) for i, c in enumerate(KINDS)])
+            valid = _of(k, [F.lit(True) if i == IBAN else c.valid(x["m"]) for i, c in enumerate(KINDS)])
+            # arrays_zip pads the matches with one null, beside the text's last part
+            good = F.coalesce(x["m"].isNotNull() & whole.isNotNull() & (start >= acc["free"]) & valid & beside, F.lit(False))
+            said = F.lower(F.concat_ws("\n", before, after))
+            score = F.round(_of(k, [F.lit(c.score) + F.when(said.rlike(c.context), 0.1).otherwise(0.0) for c in KINDS]), 2)
+            span = F.struct(start.alias("start"), k.alias("kind"), (start + whole).alias("end"), score.alias("score"))
+            tail = F.right(F.concat(before, F.coalesce(x["m"], F.lit(""))), F.lit(NEARBY))
+            return {"at": start + F.coalesce(size, F.lit(0)), "free": F.when(good, start + whole).otherwise(acc["free"]), "before": tail}, span, good
+
+        return arrays.emitted(following(look["z"]), {"at": F.lit(0), "free": F.lit(0), "before": F.lit("")}, step, SPAN)
 
-    def size(tail: Column) -> Column:
-        """Of the IBAN that tail begins with; null if there is none."""
-        country = F.try_element_at(sizes, F.left(tail, F.lit(2)))
-        one = F.lit(1)
-
-        def ends(n: Column) -> Column:
-            border = F.substr(tail, n, one).rlike("[A-Z0-9]") & ~F.substr(tail, n + 1, one).rlike(kind.neighbour)
-            own = F.length(F.replace(F.left(tail, n), F.lit(" ")))
-            return border & (own == F.coalesce(country, own))
-
-        lengths = F.filter(F.sequence(F.length(tail), F.lit(15), F.lit(-1)), ends)
-        return F.get(F.filter(lengths, lambda n: kind.valid(F.left(tail, n))), F.lit(0))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        before = F.right(F.concat(acc["before"], x["g"]), F.lit(NEARBY))
-        score = F.lit(kind.score) + F.when(F.lower(before).rlike(kind.context), 0.1).otherwise(0.0)
-        end = start + F.when(x["m"].isNotNull(), size(x["tail"]))
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.round(score, 2).alias("score"))
-        good = F.coalesce(end.isNotNull() & (start >= acc["free"]), F.lit(False))
-        return F.struct(
-            (start + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(good, end).otherwise(acc["free"]).alias("free"),
-            F.concat(before, F.coalesce(x["m"], F.lit(""))).alias("before"),
-            F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
-
-    every = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("before"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(kind.pattern), every).otherwise(none)
-
-
-def spans(text: Column, number: int, kind: Kind) -> Column:
-    """array<SPAN> of one kind in text. Starts add up the lengths of what matched and of what stands between."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), between.alias("g"), F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0))).alias("after"))
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        score = F.lit(kind.score) + F.when(F.lower(F.right(x["g"], F.lit(NEARBY))).rlike(kind.context), 0.1).otherwise(0.0)
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.round(score, 2).alias("score"))
-        # arrays_zip pads the matches with one null, beside the text's last part
-        good = x["m"].isNotNull() & kind.valid(x["m"])
-        if kind.neighbour:
-            good = good & ~x["g"].rlike(f"{kind.neighbour}$") & ~x["after"].rlike(f"^{kind.neighbour}")
-        good = F.coalesce(good, F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    every = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(kind.gate), every).otherwise(none)
+    return F.flatten(F.transform(F.filter(F.array(*looks), lambda x: F.size(x["z"]) > 1), kind_spans))
 
 
 def pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and, for each kind, its array<SPAN>. One pass over the texts, no shuffle."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    return rows.select(*keep, *[(iban_spans if k.name == "iban" else spans)(text, i, k).alias(f"{k.name}_spans") for i, k in enumerate(KINDS)])
+    """The columns ``keep`` and spans, array<SPAN> of all kinds. One pass over the texts, no shuffle."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    return rows.select(*keep, spans(F.col("_text")).alias("spans"))
 
 
 def _said(found: Column) -> Column:
@@ -167,16 +181,15 @@ def _said(found: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the base kinds; all spans with their scores."""
-    found = pii(own_columns(docs, "doc_id", "text"))
-    arrays = [F.col(f"{k.name}_spans") for k in KINDS]
-    # a struct's order is start, then kind
-    found = found.select("doc_id", *[F.size(a).cast("long").alias(f"n_{k.name}") for a, k in zip(arrays, KINDS[:BASE], strict=False)], F.array_sort(F.concat(*arrays[:BASE])).alias("base"), F.array_sort(F.concat(*arrays)).alias("every"))
+    """Counts and digests of the base kinds; all spans with their number and scores."""
+    found = pii(own_columns(docs, "doc_id", "text")).select("doc_id", F.array_sort("spans").alias("every"))  # a struct's order is start, then kind
+    count = lambda i: F.size(F.filter("every", lambda x: x["kind"] == i)).cast("long")
     return found.select(
         "doc_id",
-        *[f"n_{k.name}" for k in KINDS[:BASE]],
-        F.sha2(F.encode(_said(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        *[count(i).alias(f"n_{k.name}") for i, k in enumerate(KINDS[:BASE])],
+        F.sha2(F.encode(_said(F.filter("every", lambda x: x["kind"] < BASE)), "UTF-8"), 256).alias("base_sha256"),
         _said(F.col("every")).alias("spans"),
+        F.size("every").cast("long").alias("n_spans"),
         F.array_join(F.transform("every", lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
 
@@ -199,21 +212,22 @@ def _sql() -> str:
         "card": f"length({number}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({number}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} ELSE {digit} * 2 - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
         "phone": f"length({number}) BETWEEN 10 AND 15",
         "iban": f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {mod} = 1",
+        "secret": "regexp_matches(m, '[:=].*[0-9]') AND regexp_matches(m, '[:=].*[A-Za-z]') OR regexp_matches(m, '^(?:AKIA|ghp_|-----)')",
         "ssn": "NOT regexp_matches(m, '^(?:000|666|9)|^....00|0000$')",
     }
     parts = []
     for n, k in enumerate(KINDS):
-        p = plain.get(k.name, k.pattern)
+        p = plain.get(k.name, k.pattern).replace("'", "''")
         beside = f"AND NOT regexp_matches(g, '{k.neighbour}$') AND NOT regexp_matches(after, '^{k.neighbour}')" if k.neighbour else ""
         parts.append(f"""
-  SELECT doc_id, {n} AS kind, '{k.name}' AS name, s AS "start", s + length(m) AS "end", round({k.score} + CASE WHEN regexp_matches(lower(right(g, {NEARBY})), '{k.context}') THEN 0.1 ELSE 0 END, 2)::DOUBLE AS score FROM (
-    SELECT doc_id, ms[i] AS m, gs[i] AS g, gs[i + 1] AS after, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM (
-      SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gs FROM d))) WHERE {valid[k.name]} {beside}""")
+  SELECT doc_id, {n} AS kind, '{k.name}' AS name, s AS "start", s + length(m) AS "end", round({k.score} + CASE WHEN regexp_matches(lower(substr(t, CAST(greatest(s - {NEARBY}, 0) + 1 AS BIGINT), CAST(least(s, {NEARBY}) AS BIGINT)) || chr(10) || substr(t, CAST(s + length(m) + 1 AS BIGINT), {NEARBY})), '{k.context}') THEN 0.1 ELSE 0 END, 2)::DOUBLE AS score FROM (
+    SELECT doc_id, t, ms[i] AS m, gs[i] AS g, gs[i + 1] AS after, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM (
+      SELECT doc_id, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gs FROM d))) WHERE ({valid[k.name]}) {beside}""")
     said = "string_agg(name || ':' || \"start\" || ':' || \"end\", ',' ORDER BY \"start\", kind)"
     counts = ", ".join(f"count(*) FILTER (WHERE name = '{k.name}') AS n_{k.name}" for k in KINDS[:BASE])
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), span AS ({" UNION ALL ".join(parts)})
 SELECT d.doc_id, {counts}, sha256(coalesce({said} FILTER (WHERE kind < {BASE}), '')) AS base_sha256, coalesce({said} FILTER (WHERE name IS NOT NULL), '') AS spans,
-  coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY "start", kind) FILTER (WHERE name IS NOT NULL), '') AS scores FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id"""
+  count(name) AS n_spans, coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY "start", kind) FILTER (WHERE name IS NOT NULL), '') AS scores FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id"""
 
 
 SQL = _sql()
