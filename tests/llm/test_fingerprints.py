@@ -20,7 +20,8 @@ def brute(rows):
     """rows: (doc_id, text), ids may be null or repeat."""
     key = lambda i: float("-inf") if i is None else i
     ids = sorted({i for i, _ in rows}, key=key)
-    lead = {i: min(t or "" for j, t in rows if j == i) for i in ids}
+    lead = {i: min((t or "" for j, t in rows if j == i), key=lambda t: hashlib.md5(t.encode()).hexdigest()) for i in ids}
+    fps = [brute_fp(t) for _, t in rows]
     out = []
     for i, t in rows:
         t, n = t or "", len(t or "")
@@ -28,7 +29,8 @@ def brute(rows):
         edited = t[: n - n // 3] + after[: n // 3]
         a, b, c = brute_fp(t), brute_fp(edited), brute_fp(after)
         near = lambda x, y: 1 - (x ^ y).bit_count() / 64
-        out.append((i, n, hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", near(a, b), near(a, c)))
+        n_near = None if i is None or i % 100 else sum((a ^ f).bit_count() <= 3 for f in fps) - 1
+        out.append((i, n, hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", near(a, b), near(a, c), n_near))
     return sorted(out, key=repr)
 
 
@@ -38,11 +40,23 @@ def test_against_brute_force(spark):
     texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(60)]
     rows = [(rng.choice([-1, 1]) * i * 7**rng.randint(0, 9), t) for i, t in enumerate(texts)]
     rows += [(None, "null id"), (None, None), (5, ""), (5, "b b"), (5, "a a a"), (5, "a a a"), (6, "w " * 30_000)]
+    rows += [(100 * i, t) for i, t in enumerate(texts[:9], 1)] + [(-500, texts[3]), (100, "second of its id"), (None, None)]
     df = spark.createDataFrame([(i, t, "n", 3) for i, t in rows], "doc_id long, text string, fp string, n long")
     got = sorted((tuple(r) for r in P.digest(df).collect()), key=repr)
     assert got == brute(rows)
 
 
+def test_ids_of_one_text_each(spark):
+    rows = [(50 * i, "some words here " * (i % 4)) for i in range(30)]
+    assert sorted((tuple(r) for r in P.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == brute(rows)
+
+
+def test_long_texts_weigh_less(spark):
+    df = spark.createDataFrame([("a" * k,) for k in (0, 1, 3, 4, 16, 40)], "term string")
+    got = df.select(P.weight(df.term, P.F.lit(5)).alias("a"), P.weight(df.term, P.F.lit(P.LONG_TEXT)).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(0, 0), (1, 1), (9, 1), (16, 1), (256, 16), (256, 16)]
+
+
 def test_one_row_and_none(spark):
     df = spark.createDataFrame([(3, "one two three")], "doc_id long, text string")
     assert sorted(map(tuple, P.digest(df).collect())) == brute([(3, "one two three")])

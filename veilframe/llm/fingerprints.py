@@ -4,9 +4,11 @@ A term is a word in lower case; its weight is the square of its length, of 16 le
 words count for more than its common short ones. Each term's 64-bit hash votes with its weight on every bit, and a bit is
 set if over half the weight votes for it.
 
-Definitions. A null text is empty; a text without words has fingerprint zero. Equal texts have equal fingerprints. The
-next document of an id is the next smaller id, of the smallest id the largest; null counts as smaller than any id. Where
-rows share an id, the one with the smallest text (null first) is the next document of others. No rows: no rows.
+Definitions. A null text is empty; a text without words has fingerprint zero. Equal texts have equal fingerprints. In a text
+of over 2^27 code points weights are divided by 16, rounded up, so that sums of them stay below 2^31. The next document of an
+id is the next smaller id, of the smallest id the largest; null counts as smaller than any id. Where rows share an id, the
+one with the smallest MD5 is the next document of others. Equal rows are one document, given back as often as it stands.
+Searches are made for ids that 100 divides. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +23,18 @@ from .common import BLANK, own_columns, written
 #: Stands for a null id in order.
 NO_ID = -(1 << 63)
 LONGEST = 16
+#: Code points of a text from which on weights are divided.
+LONG_TEXT = 1 << 27
+RADIUS, BLOCKS, SEARCH_EVERY = 3, 6, 100
+#: Rows of one document that are given back at a time.
+ROWS_AT_ONCE = 1_000
 #: Two counters in a long, of bit j and bit j + 32; each holds sums of weights up to 2^31.
 PAIR = (1 << 32) | 1
 
 
-def weight(term: Column) -> Column:
+def weight(term: Column, chars: Column) -> Column:
     size = F.least(F.length(term), F.lit(LONGEST)).cast("long")
-    return size * size
+    return F.when(chars < LONG_TEXT, size * size).otherwise(F.shiftright(size * size + 15, 4))
 
 
 def vote_sums(h: Column, w: Column) -> list[Column]:
@@ -46,12 +53,13 @@ def majority() -> Column:
 
 
 def fingerprint(texts: DataFrame, *key: str) -> DataFrame:
-    """(key, fp) of texts (key, text): one row for each key that has a word.
+    """(key, fp) of texts (key, text), one row for each key.
 
-    Words are hashed and counted as they are split off, in one generated loop; a task sends a row for each key.
+    Words are hashed and counted as they are split off, in one generated loop; a task sends a row for each key. What splits
+    off before a first blank is a term without letters and weight, so no text goes without a row.
     """
-    terms = texts.select(*key, F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), rf"[{BLANK}]+", -1)).alias("term")).where("term <> ''")
-    votes = terms.select(*key, F.xxhash64("term").alias("h"), weight(F.col("term")).alias("w"))
+    terms = texts.select(*key, F.length("text").alias("_n"), F.explode(F.split(F.lower("text"), rf"[{BLANK}]+", -1)).alias("term"))
+    votes = terms.select(*key, F.xxhash64("term").alias("h"), weight(F.col("term"), F.col("_n")).alias("w"))
     return votes.groupBy(*key).agg(*vote_sums(F.col("h"), F.col("w"))).select(*key, majority().alias("fp"))
 
 
@@ -68,7 +76,7 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def near(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b, bits): all fingerprints b of prints (fp) within radius of each a of queries (fp), each pair once.
 
     Both sides are made distinct first, so copies cost one row; a table's buckets are joined by their blocks' bits.
@@ -84,56 +92,82 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6
 
 
 def following(rows: DataFrame) -> DataFrame:
-    """(src, k, want): each distinct key k of rows (k, n), the next smaller key src (cyclic), and a third of the largest n.
+    """(k, tid, src, src_tid, want): for each distinct key k of rows (k, tid, n) and its smallest tid the next smaller key src
+    (cyclic), the smallest tid of that, and a third of k's largest n.
 
     Keys alone are range-partitioned; within a partition a window gives the next key, and the partitions' largest keys,
     one row for each, close the gaps between them.
     """
-    order = rows.repartitionByRange("k").groupBy("k").agg(F.max("n").alias("n")).withColumn("pid", F.spark_partition_id())
+    order = rows.repartitionByRange("k").groupBy("k").agg(F.max("n").alias("n"), F.min("tid").alias("tid")).withColumn("pid", F.spark_partition_id())
     order = written(order, "fingerprint-order")
-    heads = order.groupBy("pid").agg(F.max("k").alias("head"))
+    at = F.struct("k", "tid")
+    heads = order.groupBy("pid").agg(F.max(at).alias("head"))
     every = Window.partitionBy()
     heads = heads.select("pid", F.coalesce(F.lag("head").over(every.orderBy("pid")), F.max("head").over(every)).alias("below"))
-    inner = order.withColumn("src", F.lag("k").over(Window.partitionBy("pid").orderBy("k")))
-    inner = inner.join(heads, "pid").select(F.coalesce("src", "below").alias("src"), "k", F.floor(F.col("n") / 3).cast("int").alias("want"))
-    return written(inner, "fingerprint-next")
+    inner = order.withColumn("src", F.lag(at).over(Window.partitionBy("pid").orderBy("k")))
+    inner = inner.join(heads, "pid").withColumn("src", F.coalesce("src", "below"))
+    return written(inner.select("k", "tid", F.col("src.k").alias("src"), F.col("src.tid").alias("src_tid"), F.floor(F.col("n") / 3).cast("int").alias("want")), "fingerprint-next")
+
+
+def own_fingerprints(text: DataFrame) -> DataFrame:
+    """(k, tid, n, fp, copies) of text (k, tid, text), one row for each text of an id; texts are read once and not moved."""
+    rows = text.select("k", "tid", F.length("text").alias("n"), F.monotonically_increasing_id().alias("row"), "text")
+    prints = fingerprint(rows, "k", "tid", "n", "row")
+    return prints.groupBy("k", "tid", "n", "fp").agg(F.count("*").alias("copies"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp), a row for each row of docs (doc_id, text, ...).
+    """(k, tid, n, fp, copies, edited_sha256, edited_fp, next_fp), one row for each text of an id of docs (doc_id, text, ...).
 
-    The edited text has its last third replaced by the beginning of the next document. Each text is dealt out by id once;
-    of the next document only as much moves again as its predecessor needs.
+    The edited text has its last third replaced by the beginning of the next document. Each text is dealt out once, by id
+    and MD5; of the next document only as much moves again as its predecessor needs.
     """
-    text = own_columns(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    wants = following(text.select("k", F.length("text").alias("n")))
-    # rows of one id are few, unless the id is not an id
-    numbered = text.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("text")))
-    # least() keeps the filter from becoming a limit below the exchange, which then could not be shared
-    parts = numbered.where(F.least("rn", F.lit(2)) == 1).join(wants.withColumnRenamed("k", "to"), F.col("k") == F.col("src"))
-    parts = parts.select(F.col("to").alias("k"), "src", F.col("text").substr(F.lit(1), F.col("want")).alias("part"))
-    both = numbered.join(parts, "k")
+    text = own_columns(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.md5("text"))
+    own = written(own_fingerprints(text), "fingerprints")
+    wants = following(own)
+    needed = wants.select(F.col("src").alias("k"), F.col("src_tid").alias("tid"), F.struct("k", "tid").alias("to"), "want")
+    dealt = text.repartition("k", "tid")
+    parts = dealt.join(needed, ["k", "tid"]).select("to.k", "to.tid", F.col("text").substr(F.lit(1), F.col("want")).alias("part"))
+    if own.where("copies > 1").take(1):
+        # equal rows: each text once, and what it gives to its predecessor once
+        parts, dealt = parts.dropDuplicates(["k"]), dealt.dropDuplicates(["k", "tid"])
+    if own.count() > wants.count():
+        # ids of several texts: all of them end in the same
+        parts = own.select("k", "tid").join(parts.drop("tid"), "k")
+    both = dealt.join(parts, ["k", "tid"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    both = both.select("k", "rn", "src", n.cast("long").alias("n_chars"), "text", F.concat(F.col("text").substr(F.lit(1), n - third), F.col("part").substr(F.lit(1), third)).alias("edited"))
-    facts = both.select("k", "rn", "src", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    two = both.select("k", "rn", F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
-    prints = fingerprint(two.select("k", "rn", "x.which", "x.text"), "k", "rn", "which")
-    prints = prints.groupBy("k", "rn").agg(*[F.max(F.when(F.col("which") == i, F.col("fp"))).alias(name) for i, name in ((0, "fp"), (1, "edited_fp"))])
-    found = facts.join(prints, ["k", "rn"], "left").fillna(0, ["fp", "edited_fp"])
-    found = written(found, "fingerprints")
-    after = found.where("rn = 1").select(F.col("k").alias("src"), F.col("fp").alias("next_fp"))
-    return found.join(after, "src").select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+    both = both.select("k", "tid", F.concat(F.col("text").substr(F.lit(1), n - third), F.col("part").substr(F.lit(1), third)).alias("text"))
+    edited = fingerprint(both.withColumn("edited_sha256", F.sha2(F.encode("text", "UTF-8"), 256)), "k", "tid", "edited_sha256").withColumnRenamed("fp", "edited_fp")
+    after = wants.join(own.select(F.col("k").alias("src"), F.col("tid").alias("src_tid"), F.col("fp").alias("next_fp")), ["src", "src_tid"]).select("k", "next_fp")
+    return own.join(edited, ["k", "tid"]).join(after, "k")
+
+
+def searched(found: DataFrame, every: int = SEARCH_EVERY) -> DataFrame:
+    """(fp, n_near): for the fingerprint of each id that ``every`` divides, how many documents of found (k, fp, copies) have
+    one within RADIUS, itself included; by the block tables, against all."""
+    prints = written(found.groupBy("fp").agg(F.sum("copies").alias("n")), "fingerprint-prints")
+    queries = found.where((F.col("k") % every == 0) & (F.col("k") != NO_ID)).select("fp").distinct()
+    met = near(queries, prints).join(prints.withColumnRenamed("fp", "b"), "b")
+    return met.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_near"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """n_near, of the ids that are searched for: other documents whose fingerprint is within RADIUS bits; null for others."""
     hex64 = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return edited_fingerprints(docs).select(
-        "doc_id",
-        "n_chars",
+    found = written(edited_fingerprints(docs), "fingerprints-edited")
+    is_query = (F.col("k") % SEARCH_EVERY == 0) & (F.col("k") != NO_ID)
+    near_ones = found.where(is_query).join(searched(found), "fp")
+    rows = near_ones.unionByName(found.where(~is_query).withColumn("n_near", F.lit(None).cast("long")))
+    rows = rows.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(ROWS_AT_ONCE).cast("long"))))
+    rows = rows.withColumn("_place", F.explode(F.sequence("_first", F.least(F.col("copies"), F.col("_first") + ROWS_AT_ONCE) - 1)))
+    return rows.select(
+        F.nullif("k", F.lit(NO_ID)).alias("doc_id"),
+        F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         hex64("fp").alias("fingerprint"),
         hex64("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        (F.col("n_near") - 1).alias("n_near"),
     )
