@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components
-from .common import own_columns, written
+from .common import HOT_SHARE, own_columns, spread_join, written
 from .simhash_dedup import fingerprint, hashes, near_links
 
 WORDS, SIMILARITY = 5, 0.8
@@ -213,17 +213,33 @@ def rest(points: DataFrame, roots: DataFrame, similarity: float, most: int) -> D
     return cells.mapInArrow(_possible(similarity, most), "a long, b long").distinct()
 
 
+def with_text(rows: DataFrame, pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
+    """rows, one for each of pairs (a, b), with the text of one side: text_a or text_b.
+
+    A point of more than its share of the pairs is dealt into parts, and its text goes to each; there are fewer than HOT_SHARE
+    such points, and fewer than twice as many parts.
+    """
+    other = "b" if side == "a" else "a"
+    hot = pairs.groupBy(side).agg(F.ceil(F.count("*") * HOT_SHARE / F.lit(max(1, pairs.count()))).cast("int").alias("_parts")).where("_parts > 1")
+    hot = F.broadcast(written(hot, "similar-hubs"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, side, "left").withColumn("_part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("_parts")
+    given = texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")).join(hot, side, "left")
+    given = given.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(given, [side, "_part"]).drop("_part")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id, id, root), a row for each row of docs (doc_id, text, ...); a component's id is its smallest
     doc_id, null if it has none. id and root are the same with stand-ins for null."""
     texts = own_columns(docs, "doc_id", "text").select(ids().alias("id"), "text")
     rows = written(texts.mapInArrow(_sketches(words), "id long, fp long, same binary, size long, bits binary, buckets array<long>"), "similar-sketches")
-    points = rows.groupBy("same").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("fp", "size", "bits", "buckets")])
+    # size, bits and buckets are the set's; fingerprints count repeats, so equal sets may differ in theirs
+    points = rows.groupBy("same").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "bits", "buckets")])
     points = written(points, "similar-points")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a")
-        met = met.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        met = with_text(with_text(pairs, pairs, texts, "a"), pairs, texts, "b").select("a", "b", "text_a", "text_b")
         return met.mapInArrow(_alike(words, similarity), "a long, b long")
 
     near = near_links(written(first_of_prints(points), "similar-prints")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
@@ -234,10 +250,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     while more:
         pairs = written(rest(grouped, roots, similarity, most), "similar-rest")
         if pairs.take(1):
-            roots = components.roots(roots.unionByName(alike(pairs.where("b is not null"))))
+            roots = components.roots(roots.unionByName(alike(written(pairs.where("b is not null"), "similar-pairs"))))
         most, more = most * GROWTH, bool(pairs.where("b is null").take(1))
-    named = points.select("same", "rep").join(roots.withColumnRenamed("a", "rep"), "rep", "left").select("same", F.coalesce("b", "rep").alias("root"))
-    out = rows.select("id", "same").join(named, "same")
+    named = points.select("same", "rep", "n").join(roots.withColumnRenamed("a", "rep"), "rep", "left").select("same", "n", F.coalesce("b", "rep").alias("root"))
+    out = spread_join(rows.select("id", "same"), named, "same", rows.count())
     return out.select(*[F.when(F.col(c) < NO_ID, F.col(c)).alias(name) for c, name in (("id", "doc_id"), ("root", "component_id"))], "id", "root")
 
 
