@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions import text as T
 from . import resolve
 
@@ -16,6 +19,8 @@ MERGE_SHARE = 0.8
 HEADING_CHARS = 80
 #: Points around an entity's merged boxes.
 BOX_MARGIN = 2
+# Fixed value: what parts sentences.
+SENTENCE_BREAK = re.compile(r"(?<=[.!?。])\s+|\n+")
 
 
 def header_block(columns: Sequence[str]) -> str:
@@ -59,29 +64,43 @@ def assembled(blocks: DataFrame) -> DataFrame:
 
 
 def windows(text: str, most: int = 1200, overlap: int = 200) -> list[tuple[str, int]]:
-    """(chunk, start): chunks that end after a sentence or line where they can, each ``overlap`` into the one before."""
-    out, at = [], 0
-    while len(text) - at > most:
-        cut = max(text.rfind(". ", at + 1, at + most), -1)
-        cut = cut if cut > at else text.rfind("\n", at + 1, at + most)
-        end = cut + 1 if cut > at else at + most
-        out.append((text[at:end], at))
-        at += max(end - at - overlap, 1)
-    return [*out, (text[at:], at)]
+    """(chunk, start): chunks of at most ``most`` characters, each beginning ``overlap`` before the end of the one before.
+
+    All places to cut are known first: after full stops with a blank behind them, and, where a window has none, after line
+    feeds. A window without either is cut at its end.
+    """
+    stops = [m.end() - 1 for m in re.finditer(r"\. ", text)]
+    lines = [m.end() for m in re.finditer("\n", text)]
+    spans, at = [], 0
+    while at + most < len(text):
+        full, line = (found[k - 1] if k else 0 for found, k in ((stops, bisect_right(stops, at + most - 1)), (lines, bisect_right(lines, at + most))))
+        end = next((x for x in (full, line) if x > at + 1), at + most)
+        spans.append((at, end))
+        at = max(at + 1, end - overlap)
+    return [(text[s:e], s) for s, e in [*spans, (at, len(text))]]
+
+
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Where sentences stand that say something: they end at line feeds and at white space behind a full stop or its like."""
+    edges = [0, *(x for m in SENTENCE_BREAK.finditer(text) for x in m.span()), len(text)]
+    return [(s, e) for s, e in zip(edges[::2], edges[1::2], strict=True) if text[s:e].strip()]
 
 
 def sentences(text: str, most: int = 1200, overlap: int = 1) -> list[str]:
-    """Chunks of whole sentences, each beginning with the last ``overlap`` sentences of the one before."""
-    parts = [s for s in re.split(r"(?<=[.!?。])\s+|\n+", text) if s.strip()]
-    if len(text) <= most or not parts:
+    """Chunks of whole sentences, each beginning with the last ``overlap`` sentences of the one before.
+
+    Sums of the sentences' lengths tell by bisection how far a chunk reaches; it has at least one sentence of its own.
+    """
+    spans = sentence_spans(text)
+    if len(text) <= most or not spans:
         return [text]
-    out, held = [], []
-    for s in parts:
-        if held and sum(len(x) + 1 for x in held) + len(s) + 1 > most:
-            out.append(" ".join(held))
-            held = held[max(0, len(held) - overlap) :]
-        held.append(s)
-    return [*out, " ".join(held)]
+    upto = [0, *accumulate(e - s + 1 for s, e in spans)]
+    out, first, done = [], 0, 0
+    while done < len(spans):
+        done = max(bisect_right(upto, upto[first] + most) - 1, done + 1)
+        out.append(" ".join(text[s:e] for s, e in spans[first:done]))
+        first = max(first, done - overlap)
+    return out
 
 
 def chunks(docs: DataFrame, text: str = "text", most: int = 1200, overlap: int = 200) -> DataFrame:
@@ -104,21 +123,23 @@ def ocr_lines_placed(lines: DataFrame, docs: DataFrame, text: str = "text") -> D
     """(doc_id, line_no, text, start, end, box): where each OCR line stands, the search going on after the line before.
 
     lines: doc_id, line_no, text, x0, y0, x1, y1. A line that isn't found as a whole is looked for by its first three
-    words. The position depends on all lines before it, so a document's lines are folded in order.
+    words, and the search goes on after these. The position depends on all lines before it, so a document's lines are folded
+    in order.
     """
     line = F.struct("line_no", T.stripped(F.col("text")).alias("text"), F.struct("x0", "y0", "x1", "y1").alias("box"))
     per = lines.where(T.stripped(F.col("text")) != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
     rows = per.join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id")
-    kind = "array<struct<line_no:int,text:string,start:int,end:int,box:struct<x0:int,y0:int,x1:int,y1:int>>>"
+    kind = "struct<line_no:int,text:string,start:int,end:int,box:struct<x0:int,y0:int,x1:int,y1:int>>"
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column):
         whole = F.call_function("locate", x["text"], F.col("_t"), acc["at"] + 1)
         few = F.array_join(F.slice(T.words(x["text"]), 1, 3), " ")
         found = F.when(whole > 0, whole).otherwise(F.call_function("locate", few, F.col("_t"), acc["at"] + 1)) - 1
         row = F.struct(x["line_no"].alias("line_no"), x["text"].alias("text"), found.alias("start"), (found + F.length(x["text"])).alias("end"), x["box"].alias("box"))
-        return F.when(found < 0, acc).otherwise(F.struct((found + F.length(x["text"])).alias("at"), F.concat(acc["out"], F.array(row)).alias("out")))
+        read = found + F.length(F.when(whole > 0, x["text"]).otherwise(few))
+        return {"at": F.when(found < 0, acc["at"]).otherwise(read)}, row, found >= 0
 
-    placed = F.aggregate("_lines", F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    placed = arrays.emitted(F.col("_lines"), {"at": F.lit(0)}, step, kind)
     return rows.select("doc_id", F.explode(placed).alias("x")).select("doc_id", "x.*")
 
 
