@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions import text as T
 from . import postprocess, scan
 
@@ -84,23 +85,23 @@ def redact_by_span(docs: DataFrame, entities: DataFrame, mode: str = "contextual
 
 def merged(found: Column) -> Column:
     """array<struct<start, end, pii_type>> of array<MATCH>: spans that meet as one, with the type of the longest of them."""
-    kind = "array<struct<start:int,end:int,pii_type:string>>"
     order = F.array_sort(F.transform(F.filter(found, lambda m: m["end"] > m["start"]), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("_e"), m["ord"].alias("ord"), m["pii_type"].alias("pii_type"))))
-    now = lambda acc: F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["pii_type"].alias("pii_type")))
-    closed = lambda acc: F.when(acc["start"] < 0, acc["out"]).otherwise(F.concat(acc["out"], now(acc)))
+    state = {"start": F.lit(-1), "end": F.lit(-1), "size": F.lit(-1), "pii_type": F.lit("")}
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column):
+        """A span goes out when the next one doesn't meet it; an empty one at the end of all lets the last one out."""
         end, size = -x["_e"], -x["_e"] - x["start"]
-        meets = (acc["start"] >= 0) & (x["start"] < acc["end"])
+        meets = x["start"] < acc["end"]
         longer = size > acc["size"]
         pick = lambda joined, own: F.when(meets, joined).otherwise(own)
-        return F.struct(
-            pick(acc["out"], closed(acc)).alias("out"), pick(acc["start"], x["start"]).alias("start"), pick(F.greatest(acc["end"], end), end).alias("end"),
-            pick(F.greatest(acc["size"], size), size).alias("size"), pick(F.when(longer, x["pii_type"]).otherwise(acc["pii_type"]), x["pii_type"]).alias("pii_type"),
-        )
-
-    empty = F.struct(F.array().cast(kind).alias("out"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1).alias("size"), F.lit("").alias("pii_type"))
-    return F.aggregate(order, empty, step, closed)
+        after = {
+            "start": pick(acc["start"], x["start"]), "end": pick(F.greatest(acc["end"], end), end), "size": pick(F.greatest(acc["size"], size), size),
+            "pii_type": pick(F.when(longer, x["pii_type"]).otherwise(acc["pii_type"]), x["pii_type"]),
+        }
+        return after, F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["pii_type"].alias("pii_type")), ~meets & (acc["start"] >= 0)
+
+    last = F.struct(F.lit((1 << 31) - 1).alias("start"), F.lit(-((1 << 31) - 1)).alias("_e"), F.lit(0).alias("ord"), F.lit("").alias("pii_type"))
+    return arrays.emitted(F.concat(order, F.array(last)), state, step, "struct<start:int,end:int,pii_type:string>")
 
 
 def redact_texts(docs: DataFrame, types: tuple[str, ...] | None = None, mode: str = "contextual", text: str = "text", keep: tuple[str, ...] = ("doc_id",), use_nlp: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import registry
+from ..functions import arrays, registry
 from ..functions import text as T
 
 MATCH = "struct<pii_type:string,value:string,start:int,end:int,confidence:double,source:string,context:string,ord:int>"
@@ -80,23 +80,31 @@ def gate(text: Column, lower: Column, kind: str) -> Column:
     return functools.reduce(lambda a, b: a | b, looks)
 
 
-def occurrences(text: Column, pattern: str, groups: Sequence[int] = ()) -> Column:
-    """array<struct<m, start, end, g1, ...>>: all matches of a pattern with spans and the groups asked for.
+LOOK = "struct<m:string,gap:string,g1:string,g2:string>"
+FOUND = "struct<m:string,start:int,end:int,g1:string,g2:string>"
+
+
+def look(text: Column, pattern: str, groups: Sequence[int] = ()) -> Column:
+    """array<LOOK>: what a pattern matches, what stands before each match, and the groups asked for; at the end what stands
+    after the last one."""
+    of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) if g in groups else F.array().cast("array<string>")
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"), of(1).alias("g1"), of(2).alias("g2"))
 
-    Where a match starts follows from the lengths of what matched before and of what stands between.
-    """
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")]
-    parts += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
-    kind = "struct<m:string,start:int,end:int" + "".join(f",g{g}:string" for g in groups) + ">"
-    none = F.array().cast(f"array<{kind}>")
 
-    def step(acc: Column, x: Column) -> Column:
+def located(looks: Column) -> Column:
+    """array<FOUND> of array<LOOK>: where a match starts follows from the lengths of what stands before it."""
+
+    def step(acc: Column, x: Column):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        row = F.struct(x["m"].alias("m"), start.alias("start"), end.alias("end"), *[x[f"g{g}"].alias(f"g{g}") for g in groups])
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(row))).alias("out"))
+        return {"at": end}, F.struct(x["m"].alias("m"), start.alias("start"), end.alias("end"), x["g1"].alias("g1"), x["g2"].alias("g2")), x["m"].isNotNull()
+
+    return arrays.emitted(looks, {"at": F.lit(0)}, step, FOUND)
 
-    return F.aggregate(F.arrays_zip(*parts), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+def occurrences(text: Column, pattern: str, groups: Sequence[int] = ()) -> Column:
+    """array<FOUND>: all matches of a pattern with spans and the groups asked for."""
+    return located(look(text, pattern, groups))
 
 
 def _given(x: Column, otherwise: Column) -> Column:
@@ -138,14 +146,21 @@ def _match(kind: str, order: int, text: Column, x: Column, value: Column, start:
     return F.struct(F.lit(kind).alias("pii_type"), value.alias("value"), start.alias("start"), end.alias("end"), F.lit(confidence).alias("confidence"), F.lit("regex").alias("source"), T.context(text, x["start"], x["end"]).alias("context"), F.lit(order).alias("ord"))
 
 
-def _typed(t: registry.PiiType, order: int, text: Column, lower: Column) -> Column:
-    found = F.transform(occurrences(text, java_pattern(t), _groups(t.id)), lambda x: _match(t.id, order, text, x, value_of(t.id, x), x["start"], x["end"], 1.0))
-    return F.when(gate(text, lower, t.id), F.filter(found, lambda m: m["value"].isNotNull())).otherwise(F.array().cast(f"array<{MATCH}>"))
+def _typed(t: registry.PiiType, order: int, text: Column, found: Column) -> Column:
+    """array<MATCH> of a type's array<FOUND>."""
+    every = F.transform(found, lambda x: _match(t.id, order, text, x, value_of(t.id, x), x["start"], x["end"], 1.0))
+    return F.filter(every, lambda m: m["value"].isNotNull())
 
 
-def _named(number: int, text: Column) -> Column:
+def _name_look(number: int, text: Column, lower: Column) -> tuple[Column, Column]:
+    """(whether a text may hold such names, array<LOOK>)."""
     before, name, after = NAMES[number]
-    found = occurrences(text, f"(?Udm)({before})({name}){after}", (1, 2))
+    seen = (lower.contains("name"), text.contains("DOB") | text.contains("Birth"), text.rlike(r"\p{Nd}[/.\-]\p{Nd}"), lower.contains("name"), text.contains("/O") | text.contains("Father"))[number]
+    return seen, look(text, f"(?Udm)({before})({name}){after}", (1, 2))
+
+
+def _named(number: int, text: Column, found: Column) -> Column:
+    """array<MATCH> of the array<FOUND> of names by one kind of label."""
 
     def match(x: Column) -> Column:
         value = F.rtrim(T.stripped(x["g2"]), F.lit("."))
@@ -155,18 +170,27 @@ def _named(number: int, text: Column) -> Column:
         start = x["start"] + F.length(x["g1"])
         return _match("name", len(registry.TYPES) + number, text, x, F.when(good, value), start, start + F.length(x["g2"]), NAME_CONFIDENCE)
 
-    lower = F.lower(text)
-    seen = (lower.contains("name"), text.contains("DOB") | text.contains("Birth"), text.rlike(r"\p{Nd}[/.\-]\p{Nd}"), lower.contains("name"), text.contains("/O") | text.contains("Father"))[number]
-    return F.when(seen, F.filter(F.transform(found, match), lambda m: m["value"].isNotNull())).otherwise(F.array().cast(f"array<{MATCH}>"))
+    return F.filter(F.transform(found, match), lambda m: m["value"].isNotNull())
 
 
 def found_in(t: Column, lower: Column, types: Sequence[str] | None = None, exclude: Sequence[str] = (), use_nlp: bool = True, names: bool | None = None) -> Column:
-    """array<MATCH> of a text column and its lower case. Patterns that aren't wanted are not run."""
+    """array<MATCH> of a text column and its lower case. Patterns that aren't wanted are not run.
+
+    One fold tells where the matches of all patterns are, so that the plan stays small however many there are.
+    """
     skip = {*exclude, *(registry.MODEL_PREFERRED if use_nlp else ())}
     wanted = [(i, k) for i, k in enumerate(registry.TYPES) if k.pattern and k.id not in skip and (types is None or k.id in types)]
     names = (types is None or "name" in types) if names is None else names
-    arrays = [_typed(k, i, t, lower) for i, k in wanted] + ([_named(n, t) for n in range(len(NAMES))] if names else [])
-    return F.concat(*arrays) if arrays else F.array().cast(f"array<{MATCH}>")
+    looks = [(gate(t, lower, k.id), look(t, java_pattern(k), _groups(k.id))) for _, k in wanted] + ([_name_look(n, t, lower) for n in range(len(NAMES))] if names else [])
+    if not looks:
+        return F.array().cast(f"array<{MATCH}>")
+    every = F.transform(F.array(*[F.when(seen, found).otherwise(F.array().cast(f"array<{LOOK}>")) for seen, found in looks]), located)
+
+    def matches(found: Column) -> Column:
+        own = [_typed(k, i, t, F.get(found, F.lit(n))) for n, (i, k) in enumerate(wanted)]
+        return F.concat(*own, *([_named(n, t, F.get(found, F.lit(len(wanted) + n))) for n in range(len(NAMES))] if names else []))
+
+    return arrays.bound(every, matches)
 
 
 def scan(docs: DataFrame, text: str = "text", types: Sequence[str] | None = None, exclude: Sequence[str] = (), use_nlp: bool = True, names: bool | None = None) -> DataFrame:
