@@ -1,5 +1,7 @@
 import io
+import random
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,94 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 3
+
+
+def _zip(**files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name.replace("__", "/").replace("_X", "."), text)
+    return out.getvalue()
+
+
+def xlsx():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="One" sheetId="1" r:id="a"/><sheet name="Two" sheetId="2" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><r><t>Jo </t></r><r><t>Doe</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>age</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2" t="b"><v>1</v></c><c r="C2"><v>41</v></c></row><row/></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+    return out.getvalue()
+
+
+def pdf(text, deflated=True):
+    body = zlib.compress(text) if deflated else text
+    return b"%PDF-1.4\n1 0 obj\n<< /Length 9" + b" /Filter /FlateDecode" * deflated + b" >>\nstream\n" + body + b"\nendstream\nendobj\ntrailer\n<< >>\n%%EOF"
+
+
+def test_workbooks_pdfs_and_tables():
+    assert readers.xlsx_items(xlsx()) == [("sheet:One", "name | col_1 | age\nname: Jo Doe | col_1: TRUE | age: 41"), ("sheet:Two", "")]
+    page = rb"BT /F1 12 Tf 10 20 Td (Mail \(me\)) Tj T* [(jo) -20 (@mail.example)] TJ 0 -14 Td <48690a> Tj (\351t\351) ' ET"
+    for deflated in (True, False):
+        assert readers.pdf_items(pdf(page, deflated)) == [("content", "Mail (me)\njo@mail.example\nHi\nété")]
+    assert readers.csv_items("a;b\r\n1;é\r\n;\r\n3;\r\n".encode("cp1252")) == [("content", "a | b\na: 1 | b: é\na: 3")]
+    assert readers.csv_items("a,b\n1,2\n".encode("utf-16")) == [("content", "a | b\na: 1 | b: 2")]
+    assert readers.csv_items(b"") == [("content", "")] and readers.pdf_items(b"%PDF-1.4") == [("content", "")]
+
+
+def test_broken_files_are_rows():
+    whole = _zip(a_Xcsv="a,b\n1,2\n" * 50, b_Xcsv="x\ny\n")
+    broken = bytearray(whole)
+    at = whole.index(b"a.csv") + 5
+    broken[at : at + 4] = b"\xff\xff\xff\xff"
+    rows = list(readers.parsed("/x/t.zip", bytes(broken)))
+    assert [(r[0], r[3] is None) for r in rows] == [("/x/t.zip!a.csv", False), ("/x/t.zip!b.csv", True)]
+    assert list(readers.parsed("t.zip", b"PK"))[0][3].startswith("unreadable archive")
+    assert [e for _, _, e in readers.members("t", whole, most=401)] == [None, "too large"]
+    inner = whole
+    for _ in range(8):
+        inner = _zip(n_Xzip=inner)
+    assert [r[3] for r in readers.parsed("t.zip", inner)] == ["nested too deeply"]
+    for name, raw in (("a.pdf", b"nothing"), ("a.pdf", b"%PDF-1.4 /Encrypt 3 0 R"), ("a.xlsx", b"PK"), ("a.docx", b"")):
+        assert all(r[3] for r in readers.parsed(name, raw))
+
+
+def test_sql_comments_and_types():
+    items = readers.sql_items(b"CREATE/*x*/TABLE t (id int, price decimal(3, 1) NOT NULL, PRIMARY KEY (id));")
+    assert items[1][0] == "table:t:id,price" and readers.sql_columns(items[1][1]) == [("id", "int"), ("price", "decimal(3, 1)")]
+
+
+def test_large_and_hidden_files_are_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers.ingestion, "MAX_BYTES", 20)
+    (tmp_path / "a.csv").write_text("a\n1\n")
+    (tmp_path / "b.csv").write_text("a\n" + "1\n" * 30)
+    (tmp_path / "._c.csv").write_text("a\n1\n")
+    got = {r.path.rsplit("/", 1)[-1]: r.error for r in readers.read_documents(spark, str(tmp_path)).collect()}
+    assert got["a.csv"] is None and got["b.csv"] == "too large" and got.get("._c.csv", "hidden file") == "hidden file"
+
+
+def test_line_search_goes_on_after_what_was_found(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    lines = spark.createDataFrame([(1, 0, "one two three FOUR FIVE", 0, 0, 9, 9), (1, 1, "four five", 0, 9, 9, 19)], "doc_id long, line_no int, text string, x0 int, y0 int, x1 int, y1 int")
+    assert [(r.line_no, r.start) for r in content.ocr_lines_placed(lines, docs).orderBy("line_no").collect()] == [(0, 0), (1, 14)]
+
+
+def test_sentences_against_the_rule():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choices(["ab", " ", ". ", "! ", "\n", "longer words"], k=rng.randint(0, 60)))
+        most, overlap = rng.randint(5, 60), rng.randint(0, 2)
+        parts = [text[s:e] for s, e in content.sentence_spans(text)]
+        got = content.sentences(text, most, overlap)
+        if len(text) <= most or not parts:
+            assert got == [text]
+            continue
+        at = 0
+        for k, c in enumerate(got):
+            n = next(n for n in range(1, len(parts) - at + 1) if " ".join(parts[at : at + n]) == c)
+            assert len(c) <= most or n <= overlap + 1
+            at += n - (overlap if k + 1 < len(got) else 0)
+            at = max(at, 0)
+        assert at == len(parts)
