@@ -288,11 +288,13 @@ def format_checks(spark: SparkSession, d: str) -> DataFrame:
     return validate.false_positives(e).select("doc_id", "code", "value")
 
 
-@query(f"WITH {FOUND_SQL}, p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}')) AS m FROM plain) SELECT doc_id, m AS value FROM p")
+@query("""WITH plain AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g') AS text FROM documents), p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) AS m FROM plain),
+first AS (SELECT DISTINCT doc_id, m FROM p WHERE doc_id % 2 = 0) SELECT p.doc_id, p.m AS value FROM p WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.doc_id = p.doc_id AND (contains(lower(f.m), lower(p.m)) OR contains(lower(p.m), lower(f.m))))""")
 def missed_entities(spark: SparkSession, d: str) -> DataFrame:
-    """What the second look finds where nothing has been found yet: all e-mail addresses."""
-    none = found(spark, d).where("pii_type = 'none'")
-    return validate.missed(none, docs(spark, d)).where("pii_type = 'email'").select("doc_id", "value")
+    """What the second look finds where the first one left out the documents of odd ids: their e-mail addresses."""
+    rows = docs(spark, d)
+    first = scan.scan(rows, types=["email"]).where("doc_id % 2 = 0")
+    return validate.missed(first, rows).where("pii_type = 'email'").select("doc_id", "value")
 
 
 @query(f"WITH {X.ENTITIES_SQL}, s AS (SELECT doc_id, value FROM entities WHERE pii_type <> 'organization'), r AS (SELECT DISTINCT doc_id, lower(value) AS v FROM entities WHERE ord % 2 = 0) SELECT s.doc_id, CAST(round(count(r.v) / count(*)::DOUBLE, 6) AS DOUBLE) AS coverage FROM s LEFT JOIN r ON s.doc_id = r.doc_id AND lower(s.value) = r.v GROUP BY s.doc_id")
@@ -343,12 +345,14 @@ def redact_by_value(spark: SparkSession, d: str) -> DataFrame:
     return redact.redact_by_value(rows, mapped).select("doc_id", "redacted")
 
 
-@query("SELECT doc_id, 0 AS left_over FROM documents WHERE false")
+@query("""WITH plain AS (SELECT doc_id, text FROM documents), p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9\\-]+(?:\\.[A-Za-z0-9\\-]+)*\\.[A-Za-z]{2,}')) AS value FROM plain)
+SELECT doc_id, value, count(*) AS n FROM p WHERE doc_id % 3 = 0 GROUP BY ALL""")
 def redaction_verified(spark: SparkSession, d: str) -> DataFrame:
-    """Values of e-mail addresses that can still be read after redaction: none."""
+    """Values of e-mail addresses that can still be read after a redaction that left out every third document."""
     rows = docs(spark, d).select("doc_id", "text")
     e = scan.scan(rows, types=["email"])
-    return redact.verify(redact.redact_by_span(rows, e), e).select("doc_id", F.lit(0).alias("left_over"))
+    left = redact.verify(redact.redact_by_span(rows, e.where("doc_id % 3 > 0")), e)
+    return left.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
 # --- text, scripts, content ---
@@ -398,11 +402,6 @@ def column_scan(spark: SparkSession, d: str) -> DataFrame:
     return analytics.column_rollup(found.withColumn("doc_id", F.col("c_custkey"))).select("field", "primary_type", "n")
 
 
-@query("SELECT conv_id, len(string_split(text, ' ')) AS words, turn FROM conversations")
-def word_counts(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.size(F.split("text", " ")).cast("long").alias("words"), "turn")
-
-
 @query("SELECT page_id, lower(regexp_extract(url, '\\.[^./]+$')) AS extension, 'full' AS chunking FROM pages")
 def ingestion_plan(spark: SparkSession, d: str) -> DataFrame:
     files = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("url").alias("path"), F.lit("").alias("snippet"), F.length("html").alias("size"))
