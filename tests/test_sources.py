@@ -130,6 +130,29 @@ def test_detect_with_a_model(spark):
     assert detect.risk_report(df).first().total_entities == 3
 
 
+def test_a_model_that_fails(spark):
+    def engine(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = b.column(3).to_pylist()
+            if any("boom" in t for t in texts):
+                raise RuntimeError("no answer")
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["Person"] * n), pa.array(["Asha Rao"] * n), pa.array([0.9] * n), pa.array([0] * n, pa.int32()), pa.array([8] * n, pa.int32())], ["doc_id", "label", "text", "score", "start", "end"])
+
+    def never(batches):
+        raise ValueError("no model here")
+
+    detect.register_engine("fails", engine)
+    detect.register_engine("never", never)
+    df = spark.createDataFrame([(i, "Asha Rao went home" + " boom" * (i == 3)) for i in range(6)], "doc_id long, text string").repartition(6, "doc_id")
+    got = {r.doc_id: (r.n_matches, r.error) for r in detect.engine_runs(df, "fails").collect()}
+    assert got[3] == (0, "RuntimeError: no answer") and len(got) == 6
+    assert 3 not in {r.doc_id for r in detect.model_matches(df, "fails").collect()}
+    assert {(r.n_matches, r.error) for r in detect.engine_runs(df, "never").collect()} == {(0, "ValueError: no model here")}
+
+
 def test_sql_functions(spark):
     detect.register_sql(spark)
     assert spark.sql("SELECT redact_text('to a@b.com now') AS t, mask_pii('name', 'Asha') AS m").first() == ("to [EMAIL] now", "As***")

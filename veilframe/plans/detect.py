@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import models, scripts
 from ..functions import text as T
@@ -35,9 +37,55 @@ def routed(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("engine", scripts.engine(F.coalesce(F.col(text), F.lit("")), F.col("profile")))
 
 
+def guarded(engine: Engine, kind: pa.DataType) -> Engine:
+    """The engine with one more column, error. Where it raises, the documents of the batch that it had in hand are rows with
+    the error, and it is started again with what follows."""
+    empty = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+    names = ["doc_id", "label", "text", "score", "start", "end", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, held = iter(batches), []
+
+        def fed() -> Iterator[pa.RecordBatch]:
+            for batch in rest:
+                held[:] = [batch]
+                yield batch
+
+        while True:
+            held.clear()
+            try:
+                for out in engine(fed()):
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.string())], names)
+                return
+            except Exception as e:  # whatever a model raises becomes its documents' rows
+                said = f"{type(e).__name__}: {e}"[:200]
+            # what fails before it has taken a batch fails on the next one
+            failed = held or list(itertools.islice(rest, 1))
+            if not failed:
+                return
+            ids = pa.array(sorted(set(failed[0].column(0).to_pylist())), kind)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.nulls(len(ids), t) for t in empty), pa.array([said] * len(ids))], names)
+
+    return run
+
+
+def model_rows(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """What a registered engine says of the chunks of docs: NER and error."""
+    chunks = content.chunks(docs, text)
+    ids = chunks.schema["doc_id"].dataType
+    return chunks.mapInArrow(guarded(ENGINES[name], to_arrow_type(ids)), NER.replace("doc_id long", f"doc_id {ids.simpleString()}") + ", error string")
+
+
+def engine_runs(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """(doc_id, engine, n_matches, error), a row for each document of docs that a registered engine gave an answer or an error to."""
+    rows = model_rows(docs, name, text).groupBy("doc_id").agg(F.count("label").alias("n_matches"), F.max("error").alias("error"))
+    return rows.select("doc_id", F.lit(name).alias("engine"), "n_matches", "error")
+
+
 def model_matches(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
-    """matches of a registered engine over chunks of docs, spans put back into the documents, weak hits left out."""
-    found = content.chunks(docs, text).mapInArrow(ENGINES[name], NER)
+    """matches of a registered engine over chunks of docs, spans put back into the documents, weak hits left out; documents
+    that it fails on have none (see engine_runs)."""
+    found = model_rows(docs, name, text).where("error is null").drop("error")
     found = found.join(docs.select("doc_id", T.ocr_like(F.coalesce(F.col(text), F.lit(""))).alias("_ocr")), "doc_id")
     rows = found.select("doc_id", models.label_type(F.col("label")).alias("pii_type"), T.stripped(F.col("text")).alias("value"), "start", "end", F.col("score").alias("confidence"), "_ocr").where("value <> ''")
     rows = rows.where(models.accepted(F.col("pii_type"), F.col("value"), F.col("confidence"), F.col("_ocr"), postprocess.STOPWORDS))
