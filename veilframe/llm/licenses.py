@@ -126,7 +126,10 @@ def _rules() -> tuple[Rule, ...]:
 RULES = _rules()
 DETECTION = "struct<start:int,end:int,priority:int,label:string>"
 #: One look for all families: no text without one of these stems has a detection.
-GATE = r"licen[sc]e|public|apache|bsd|unlicense|spdx|creative commons|reserved|copyright|permission|redistribution|source|proprietary|unauthorized|cc|cecill|gnu|warranty|name of|reproduced|by "
+GATE = (
+    r"licen[sc]e|public|apache|bsd|spdx|creative commons|reserved|copyright|permission|redistribution|altered source|source code form|proprietary|unauthorized|"
+    r"cc by|cc0|cecill|gnu|warranty|name of|reproduced|by (?:n[cd] |sa )*[1-4] [05]"
+)
 
 
 def _groups() -> list[tuple[str, list[Rule]]]:
