@@ -43,15 +43,15 @@ def aligned(text: str) -> tuple[str, list[int] | None]:
 
 
 def normalised(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, normalised, origin): origin is null where the text is its own normal form."""
-    rows = docs.select("doc_id", text)
+    """(doc_id, normalised, origin, original): origin is null where the text is its own normal form."""
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("original"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [aligned(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.int32()))], ["doc_id", "normalised", "origin"])
+            done = [aligned(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.int32())), batch.column(1)], ["doc_id", "normalised", "origin", "original"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, normalised string, origin array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, normalised string, origin array<int>, original string")
 
 
 def original_span(start: Column, end: Column, origin: Column) -> Column:

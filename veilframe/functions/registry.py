@@ -87,6 +87,16 @@ SEMANTIC_ONLY = tuple(t.id for t in TYPES if not t.pattern)
 MODEL_PREFERRED = ("name", "address", "organization", "diagnosis", "allergies", "treatment_history")
 
 
+def register_pattern(type_id: str, pattern: str, sensitivity: str = "Medium", name: str | None = None, category: str = "Personal") -> None:
+    """Adds a type, or gives one another pattern, from then on and for this process; scans built afterwards look for it."""
+    global TYPES, BY_ID, PATTERN_TYPES, SEMANTIC_ONLY
+    own = PiiType(type_id, name or type_id.replace("_", " ").title(), category, sensitivity, pattern)
+    TYPES = tuple(own if t.id == type_id else t for t in TYPES) if type_id in BY_ID else (*TYPES, own)
+    BY_ID = {t.id: t for t in TYPES}
+    PATTERN_TYPES = tuple(t for t in TYPES if t.pattern)
+    SEMANTIC_ONLY = tuple(t.id for t in TYPES if not t.pattern)
+
+
 def pii_types(spark: SparkSession) -> DataFrame:
     """The registry as a table: pii_type, name, category, sensitivity, rank, has_pattern, ord."""
     rows = [(t.id, t.name, t.category, t.sensitivity, t.rank, bool(t.pattern), i) for i, t in enumerate(TYPES)]

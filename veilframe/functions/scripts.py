@@ -18,6 +18,8 @@ ARABIC, CJK = ("arabic", "hebrew"), ("cjk", "hiragana", "katakana", "hangul")
 NON_LATIN = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for _, lo, hi, _ in SCRIPTS)
 #: Texts of fewer words get patterns only; a share from which a text counts as mixed.
 FEW_WORDS, MIXED = 6, 0.10
+# A script's least share to be named, the mixed share from which a text isn't English, how fast one is sure.
+RARE, NOT_ENGLISH, SURE = 0.02, 0.15, 1.5
 
 
 def script_of(word: Column) -> Column:
@@ -42,13 +44,14 @@ def profile(text: Column) -> Column:
     found = word_scripts(text)
     names = F.array_distinct(found)
     counted = F.transform(names, lambda s: F.struct(F.size(F.filter(found, lambda x: x == s)).alias("n"), s.alias("script")))
+    ranked = F.transform(counted, lambda c, i: F.struct((-c["n"]).alias("n"), i.alias("i"), c["script"].alias("script")))
     top = F.array_max(F.transform(counted, lambda c: c["n"]))
     dominant = F.coalesce(F.get(F.filter(counted, lambda c: c["n"] == top), F.lit(0))["script"], F.lit("latin"))
     share = F.coalesce(top / F.size(found), F.lit(1.0))
     lettered = text.rlike(r"\p{L}")
 
     def struct(*values: Column) -> Column:
-        names_ = ("dominant_script", "dominant_share", "mixed_ratio", "n_scripts", "has_indic", "has_arabic", "has_cjk", "distribution")
+        names_ = ("dominant_script", "dominant_share", "mixed_ratio", "n_scripts", "has_indic", "has_arabic", "has_cjk", "distribution", "script_langs")
         return F.struct(*[v.alias(n) for v, n in zip(values, names_, strict=True)])
 
     mixed = struct(
@@ -58,9 +61,10 @@ def profile(text: Column) -> Column:
         F.size(names),
         *[F.arrays_overlap(names, F.array(*map(F.lit, family))) for family in (INDIC, ARABIC, CJK)],
         F.map_from_entries(F.transform(counted, lambda c: F.struct(c["script"], F.round(c["n"] / F.size(found), 3)))),
+        F.transform(F.array_sort(F.filter(ranked, lambda c: -c["n"] / F.size(found) >= RARE)), lambda c: language(c["script"])),
     )
     none = F.map_from_entries(F.array().cast("array<struct<script:string,share:double>>"))
-    latin = struct(F.lit("latin"), F.lit(1.0), F.lit(0.0), lettered.cast("int"), *[F.lit(False)] * 3, F.when(lettered, F.create_map(F.lit("latin"), F.lit(1.0))).otherwise(none))
+    latin = struct(F.lit("latin"), F.lit(1.0), F.lit(0.0), lettered.cast("int"), *[F.lit(False)] * 3, F.when(lettered, F.create_map(F.lit("latin"), F.lit(1.0))).otherwise(none), F.when(lettered, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>")))
     return F.when(text.rlike(f"[{NON_LATIN}]"), mixed).otherwise(latin)
 
 
@@ -69,6 +73,17 @@ def language(script: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for name, _, _, lang in SCRIPTS for x in (name, lang)]), script), F.lit("en"))
 
 
+def languages(p: Column, latin: Column | None = None) -> Column:
+    """struct<primary_lang, is_english, is_multilingual, script_langs, confidence> of a profile. A script says nothing of which
+    language a latin text is in: ``latin`` may (null: unknown), as a column of a language model's answers."""
+    alone = (p["dominant_script"] == "latin") & (p["mixed_ratio"] < NOT_ENGLISH)
+    own = language(p["dominant_script"])
+    primary = own if latin is None else F.when(alone, F.coalesce(latin, own)).otherwise(own)
+    english = alone & primary.isin("en", "en-gb", "en-us")
+    sure = F.least(p["dominant_share"] * SURE, F.lit(1.0))
+    return F.struct(primary.alias("primary_lang"), english.alias("is_english"), (p["n_scripts"] > 1).alias("is_multilingual"), p["script_langs"].alias("script_langs"), F.round(sure, 3).alias("confidence"))
+
+
 def engine(text: Column, p: Column) -> Column:
     """none, patterns, multilingual or latin: which semantic engine runs beside the patterns."""
     return (

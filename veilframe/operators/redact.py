@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from ..functions import arrays, offsets
 from ..functions import text as T
 from . import postprocess, scan
 
@@ -112,6 +112,13 @@ def redact_texts(docs: DataFrame, types: tuple[str, ...] | None = None, mode: st
     return rows.select(*keep, _replaced(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
 
 
+def redact_originals(docs: DataFrame, types: tuple[str, ...] | None = None, mode: str = "contextual", text: str = "text", use_nlp: bool = True) -> DataFrame:
+    """(doc_id, redacted, n_spans): the text as it was given, with every match in its whole normal form replaced."""
+    rows = offsets.normalised(docs, text).withColumn("_l", F.lower("normalised"))
+    rows = rows.withColumn("_s", merged(scan.original_found(F.col("normalised"), F.col("_l"), F.col("origin"), types, use_nlp)))
+    return rows.select("doc_id", _replaced(F.col("original"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
+
+
 def verify(redacted: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, pii_type, value): what can still be read in (doc_id, redacted): as it is, in plain form, or by 6 digits."""
     rows = entities.select("doc_id", "pii_type", "value").join(redacted.select("doc_id", "redacted"), "doc_id")

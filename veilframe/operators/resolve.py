@@ -35,13 +35,17 @@ def weight(source: Column) -> Column:
     return out.otherwise(OTHER_WEIGHT)
 
 
+def holds(text: Column, value: Column) -> Column:
+    """Whether a text holds a value: as it is, with white space collapsed, or by six digits or more; case doesn't count."""
+    low, said, number = F.lower(T.stripped(value)), F.lower(text), T.digits(value)
+    return said.contains(low) | T.one_space(said).contains(T.one_space(low)) | ((F.length(number) >= 6) & T.digits(text).contains(number))
+
+
 def grounded(matches: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """matches without those of models whose value the document doesn't hold: as it is, with white space collapsed, or by
     six digits or more. Matches of patterns are not joined."""
     own = matches.where("source = 'regex'")
-    value = F.lower(T.stripped(F.col("value")))
-    said, number = F.lower(F.col("_text")), T.digits(F.col("value"))
-    held = said.contains(value) | T.one_space(said).contains(T.one_space(value)) | ((F.length(number) >= 6) & T.digits(F.col("_text")).contains(number))
+    held = holds(F.col("_text"), F.col("value"))
     models = matches.where("source <> 'regex'").join(docs.select("doc_id", F.col(text).alias("_text")), "doc_id").where(held)
     return own.unionByName(models.select(*matches.columns))
 
@@ -107,9 +111,9 @@ def rank(level: Column) -> Column:
 
 
 def fused(matches: DataFrame) -> DataFrame:
-    """entities: doc_id, pii_type, value, confidence, sources, start, end, context, sensitivity, n_matches, ord.
+    """entities: doc_id, pii_type, value, confidence, sources, start, end, context, sensitivity, n_matches, ord, metadata.
 
-    One aggregate by document, type and key. Ties go to the match that comes first.
+    metadata tells an auditor how a value came about: how many engines agree, which, and which one its span is from. One aggregate by document, type and key. Ties go to the match that comes first.
     """
     first = F.struct(-F.col("ord"), -F.col("start"), -F.col("end"))
     rows = matches.withColumn("_key", key(F.col("pii_type"), F.col("value"))).withColumn("_w", weight(F.col("source"))).withColumn("_re", F.col("source") == "regex")
@@ -119,12 +123,17 @@ def fused(matches: DataFrame) -> DataFrame:
         F.max_by("confidence", F.struct("_re", first)).alias("_first"),
         F.bool_or("_re").alias("_re"),
         F.array_sort(F.collect_set("source")).alias("sources"),
-        F.max_by(F.struct("start", "end", "context"), F.struct("_w", first)).alias("_span"),
+        F.max_by(F.struct("start", "end", "context", "source"), F.struct("_w", first)).alias("_span"),
         F.count("*").alias("n_matches"),
         F.min(F.struct("ord", "start")).alias("_order"),
     )
     fuse = F.when(F.col("pii_type").isin(*PATTERN_FIRST) & F.col("_re"), F.round("_first", 4)).otherwise(F.round(F.col("_best") + BONUS * (F.size("sources") - 1), 4))
-    return grouped.select(*_KEY, canonical(F.col("pii_type"), F.col("value")).alias("value"), F.least(fuse, F.lit(1.0)).alias("confidence"), "sources", "_span.start", "_span.end", "_span.context", sensitivity(F.col("pii_type")).alias("sensitivity"), "n_matches", F.col("_order.ord").alias("ord"))
+    said = F.col("_span.source")
+    metadata = F.struct(
+        F.size("sources").alias("engine_count"), F.lit(True).alias("grounded"), F.col("sources").alias("matched_by"), F.when(said == "regex", F.col("pii_type")).alias("matched_pattern"),
+        F.when(said != "regex", said).alias("matched_model"),
+    ).alias("metadata")
+    return grouped.select(*_KEY, canonical(F.col("pii_type"), F.col("value")).alias("value"), F.least(fuse, F.lit(1.0)).alias("confidence"), "sources", "_span.start", "_span.end", "_span.context", sensitivity(F.col("pii_type")).alias("sensitivity"), "n_matches", F.col("_order.ord").alias("ord"), metadata)
 
 
 def resolve(matches: DataFrame, docs: DataFrame | None = None, text: str = "text") -> DataFrame:

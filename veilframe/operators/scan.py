@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrays, registry
+from ..functions import arrays, offsets, registry
 from ..functions import text as T
 
 MATCH = "struct<pii_type:string,value:string,start:int,end:int,confidence:double,source:string,context:string,ord:int>"
@@ -203,6 +203,23 @@ def scan(docs: DataFrame, text: str = "text", types: Sequence[str] | None = None
     return rows.select("doc_id", F.explode(found_in(F.col("_t"), F.col("_l"), types, exclude, use_nlp, names)).alias("x")).select("doc_id", "x.*")
 
 
+def original_found(t: Column, lower: Column, origin: Column, types: Sequence[str] | None = None, use_nlp: bool = True) -> Column:
+    """array<MATCH> of a normal form, spans being those of the original (see offsets)."""
+
+    def moved(m: Column) -> Column:
+        at = offsets.original_span(m["start"], m["end"], origin)
+        own = {"start": at["start"], "end": at["end"]}
+        return F.struct(*[own.get(c, m[c]).alias(c) for c in ("pii_type", "value", "start", "end", "confidence", "source", "context", "ord")])
+
+    return F.transform(found_in(t, lower, types, use_nlp=use_nlp), moved)
+
+
+def original_scan(docs: DataFrame, text: str = "text", types: Sequence[str] | None = None, use_nlp: bool = True) -> DataFrame:
+    """matches of the whole normal form of docs (every compatibility form, NFKC); spans are places in the text as it was given."""
+    rows = offsets.normalised(docs, text).withColumn("_l", F.lower("normalised"))
+    return rows.select("doc_id", F.explode(original_found(F.col("normalised"), F.col("_l"), F.col("origin"), types, use_nlp)).alias("x")).select("doc_id", "x.*")
+
+
 def field_scan(rows: DataFrame, key: str, columns: Sequence[str] | None = None, types: Sequence[str] | None = None) -> DataFrame:
     """(key, field, matches...): every cell of the columns scanned on its own, without suppression for models."""
     columns = columns or [c for c in rows.columns if c != key]

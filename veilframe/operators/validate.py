@@ -17,6 +17,8 @@ CRITICAL = {
     "phone": (r"(?U)(?<!\d)(?:\+91[\s\-]?)?[6-9]\d{9}(?!\d)", r"\p{Nd}{9}"),
     "credit_card": (r"(?U)\b(?:\d[ -]*?){16}\b", r"\p{Nd}"),
 }
+# Types whose values have a form that can be checked.
+STRUCTURED = ("pan", "aadhaar", "phone", "email", "credit_card", "voter_id")
 ISSUE = ("doc_id", "severity", "code", "pii_type", "value", "start", "end")
 
 
@@ -123,6 +125,36 @@ def scores(entities: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
     return n.select(*by, "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
+def well_formed(pii_type: Column, value: Column) -> Column:
+    """Whether a value of a structured type has its form; other types have none to break."""
+    number, token = T.digits(value), F.upper(F.regexp_replace(value, r"(?U)\W", ""))
+    return (
+        F.when(pii_type == "pan", token.rlike(r"\A[A-Z]{5}\p{Nd}{4}[A-Z]\z"))
+        .when(pii_type == "aadhaar", F.length(number) == 12)
+        .when(pii_type == "phone", F.length(number).isin(10, 12))
+        .when(pii_type == "email", T.stripped(value).rlike(r"\A[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\z"))
+        .when(pii_type == "voter_id", token.rlike(r"\A[A-Z]{3}\p{Nd}{7}\z"))
+        .otherwise(F.lit(True))
+    )
+
+
+def answer_scores(answers: DataFrame, entities: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_answers, hallucinations, format_errors, missing) of a model's answers (doc_id, pii_type, value): those that
+    their text doesn't hold, those without their type's form, and values that patterns find and the model did not give.
+
+    Documents that neither says anything of have no row. Answers meet their text once, so a text moves once.
+    """
+    rows = answers.where(F.trim("value") != "").join(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")), "doc_id")
+    said = rows.groupBy("doc_id").agg(
+        F.count("*").alias("n_answers"),
+        F.count_if(~resolve.holds(F.col("_t"), F.col("value"))).alias("hallucinations"),
+        F.count_if(F.col("pii_type").isin(*STRUCTURED) & ~well_formed(F.col("pii_type"), F.col("value"))).alias("format_errors"),
+    )
+    side = lambda df: df.where(F.col("pii_type").isin(*STRUCTURED)).select("doc_id", "pii_type", F.lower(F.regexp_replace("value", r"(?U)\W", "")).alias("_k")).distinct()
+    lost = side(entities).join(side(answers), ["doc_id", "pii_type", "_k"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("missing"))
+    return said.join(lost, "doc_id", "full_outer").fillna(0).select("doc_id", "n_answers", "hallucinations", "format_errors", "missing")
+
+
 def hallucinated(answers: DataFrame, entities: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Values of structured types that a model gave (doc_id, pii_type, value) and patterns did not find."""
     known = entities.select("doc_id", "pii_type", resolve.key(F.col("pii_type"), F.col("value")).alias("_k"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import models, scripts
+from ..functions import models, offsets, scripts
 from ..functions import text as T
 from ..operators import analytics, content, postprocess, redact, resolve, scan
 
@@ -99,11 +99,15 @@ def asked(docs: DataFrame, engine: str = "qwen_ner", text: str = "text") -> Data
     return chunks.withColumn("prompt", models.prompt(F.col("text"), engine))
 
 
-def detect(docs: DataFrame, text: str = "text", types: Sequence[str] | None = None, use_nlp: bool = True, engines: dict[str, str] | None = None, most: int | None = None, clean: bool = True) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", types: Sequence[str] | None = None, use_nlp: bool = True, engines: dict[str, str] | None = None, most: int | None = None, clean: bool = True, original: bool = False) -> DataFrame:
     """entities of docs (doc_id, text): normal form, patterns, models by script, resolution, precision filters.
 
     types prunes the patterns before they run. engines: which registered engine serves ``latin`` and ``multilingual``.
+    original: the normal form is the whole one, and spans are places in the text as it was given; values and contexts stay
+    those of the normal form. It takes one pass of Python over the texts, which the plain way doesn't.
     """
+    if original:
+        return _original(docs.select("doc_id", F.col(text).alias("text")), types, use_nlp, engines, most)
     docs = normalised(docs.select("doc_id", F.col(text).alias("text"))) if clean else docs.select("doc_id", F.col(text).alias("text"))
     found = scan.scan(docs, types=types, use_nlp=use_nlp)
     if engines:
@@ -116,8 +120,27 @@ def detect(docs: DataFrame, text: str = "text", types: Sequence[str] | None = No
     return resolve.capped(entities, most) if most else entities
 
 
-def redacted(docs: DataFrame, text: str = "text", mode: str = "contextual", types: Sequence[str] | None = None) -> DataFrame:
-    """(doc_id, redacted, n_spans): the normal form with every match replaced, in one pass over the texts."""
+def _original(docs: DataFrame, types: Sequence[str] | None, use_nlp: bool, engines: dict[str, str] | None, most: int | None) -> DataFrame:
+    found = scan.original_scan(docs, types=types, use_nlp=use_nlp)
+    if engines:
+        texts = offsets.normalised(docs)
+        plain = texts.select("doc_id", F.col("normalised").alias("text"))
+        by_engine, columns = routed(plain), found.columns
+        for kind, name in engines.items():
+            rows = resolve.grounded(model_matches(by_engine.where(F.col("engine") == kind).select("doc_id", "text"), name), plain)
+            at = offsets.original_span(F.col("start"), F.col("end"), F.col("origin"))
+            moved = rows.join(texts.select("doc_id", "origin"), "doc_id").withColumn("_at", at)
+            found = found.unionByName(moved.withColumn("start", F.col("_at.start")).withColumn("end", F.col("_at.end")).select(*columns))
+        found = found.where(F.col("pii_type").isin(*types)) if types else found
+    entities = postprocess.post_process(resolve.resolve(found))
+    return resolve.capped(entities, most) if most else entities
+
+
+def redacted(docs: DataFrame, text: str = "text", mode: str = "contextual", types: Sequence[str] | None = None, original: bool = False) -> DataFrame:
+    """(doc_id, redacted, n_spans): the normal form with every match replaced, in one pass over the texts; original: the text
+    as it was given, with the same values replaced."""
+    if original:
+        return redact.redact_originals(docs.select("doc_id", F.col(text).alias("text")), types, mode)
     return redact.redact_texts(normalised(docs.select("doc_id", F.col(text).alias("text"))), types, mode)
 
 
