@@ -64,7 +64,7 @@ def merged_spans(entities: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), best).select("doc_id", "start", "end", "x.*")
 
 
-def _replaced(t: Column, spans: Column, mode: str) -> Column:
+def replaced_in(t: Column, spans: Column, mode: str = "contextual") -> Column:
     """t with each of the spans replaced; they are in order and don't meet. What stands between them and what replaces
     them is joined once, so time grows with the text, not with spans x text."""
     before = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
@@ -80,7 +80,7 @@ def redact_by_span(docs: DataFrame, entities: DataFrame, mode: str = "contextual
     """
     spans = merged_spans(entities).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pii_type"))).alias("_s"))
     rows = docs.select("doc_id", F.col(text).alias("_t")).join(spans, "doc_id", "left")
-    return rows.select("doc_id", _replaced(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.coalesce(F.size("_s"), F.lit(0)).alias("n_spans"))
+    return rows.select("doc_id", replaced_in(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.coalesce(F.size("_s"), F.lit(0)).alias("n_spans"))
 
 
 def merged(found: Column) -> Column:
@@ -109,14 +109,14 @@ def redact_texts(docs: DataFrame, types: tuple[str, ...] | None = None, mode: st
     the text, no shuffle, no join. All matches count, also those that resolution would fold into one entity."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_t")).withColumn("_l", F.lower("_t"))
     rows = rows.withColumn("_m", scan.found_in(F.coalesce("_t", F.lit("")), F.coalesce("_l", F.lit("")), types, use_nlp=use_nlp)).withColumn("_s", merged(F.col("_m")))
-    return rows.select(*keep, _replaced(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
+    return rows.select(*keep, replaced_in(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
 
 
 def redact_originals(docs: DataFrame, types: tuple[str, ...] | None = None, mode: str = "contextual", text: str = "text", use_nlp: bool = True) -> DataFrame:
     """(doc_id, redacted, n_spans): the text as it was given, with every match in its whole normal form replaced."""
     rows = offsets.normalised(docs, text).withColumn("_l", F.lower("normalised"))
     rows = rows.withColumn("_s", merged(scan.original_found(F.col("normalised"), F.col("_l"), F.col("origin"), types, use_nlp)))
-    return rows.select("doc_id", _replaced(F.col("original"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
+    return rows.select("doc_id", replaced_in(F.col("original"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
 
 
 def verify(redacted: DataFrame, entities: DataFrame) -> DataFrame:

@@ -8,15 +8,17 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import models, offsets, scripts
 from ..functions import text as T
+from ..functions.sqltext import to_sql
 from ..operators import analytics, content, postprocess, redact, resolve, scan
 
 Engine = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 ENGINES: dict[str, Engine] = {}
+#: Types that the SQL function redact_text replaces: those whose form alone tells them.
+SQL_REDACTED = ("email", "credit_card", "ip_address", "aadhaar", "pan", "iban", "ssn", "phone", "passport", "voter_id", "driving_license", "upi", "ifsc")
 NER = "doc_id long, label string, text string, score double, start int, end int"
 
 
@@ -155,31 +157,15 @@ def risk_report(docs: DataFrame, by: Sequence[str] = (), text: str = "text", typ
 def register_sql(spark: SparkSession) -> None:
     """SQL functions mask_pii(type, value), redact_text(text) and the table function detect_pii(text).
 
-    They run in Python, so that SQL can call them by name; DataFrames use the operators instead.
+    Their bodies are the operators' own expressions: the same rules, within the JVM. They need a classic session.
     """
-    import re
-
-    from ..functions import registry
-
-    patterns = [(t.id, re.compile(t.pattern)) for t in registry.PATTERN_TYPES if t.id not in registry.MODEL_PREFERRED]
-    labels = dict(redact.LABELS)
-
-    class Detect:
-        def eval(self, text: str):
-            for kind, p in patterns:
-                for m in p.finditer(text or ""):
-                    yield kind, m.group().strip(), m.start(), m.end()
-
-    spark.udtf.register("detect_pii", F.udtf(Detect, returnType="pii_type string, value string, start int, end int"))
-    strict = [(k, p) for k, p in patterns if k in ("email", "credit_card", "ip_address", "aadhaar", "pan", "iban", "ssn")]
-
-    def redact_text(text: str) -> str | None:
-        for kind, p in strict:
-            text = None if text is None else p.sub(labels.get(kind, f"[{kind.upper()}]"), text)
-        return text
-
-    def mask_pii(kind: str, value: str) -> str | None:
-        return None if value is None else (value[:2] + "***" if len(value) > 2 else "***")
-
-    spark.udf.register("redact_text", redact_text, ST.StringType())
-    spark.udf.register("mask_pii", mask_pii, ST.StringType())
+    t = F.coalesce(F.col("said"), F.lit(""))
+    found = scan.found_in(t, F.lower(t), use_nlp=False)
+    clean = redact.replaced_in(F.col("said"), redact.merged(scan.found_in(t, F.lower(t), SQL_REDACTED, use_nlp=False)))
+    head = "CREATE OR REPLACE TEMPORARY FUNCTION"
+    spark.sql(f"{head} mask_pii(kind STRING, given STRING) RETURNS STRING RETURN {to_sql(T.mask(F.col('kind'), F.col('given')))}")
+    spark.sql(f"{head} redact_text(said STRING) RETURNS STRING RETURN {to_sql(clean)}")
+    spark.sql(
+        f"{head} detect_pii(said STRING) RETURNS TABLE(pii_type STRING, value STRING, `start` INT, `end` INT) "
+        f"RETURN SELECT x.pii_type, x.value, x.`start`, x.`end` FROM (SELECT explode({to_sql(found)}) AS x)"
+    )
