@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrays
+
 # Scripts as (name, first and last code point, language); letters beyond these count as latin.
 SCRIPTS = (
     ("devanagari", 0x0900, 0x097F, "hi"), ("bengali", 0x0980, 0x09FF, "bn"), ("gurmukhi", 0x0A00, 0x0A7F, "pa"), ("gujarati", 0x0A80, 0x0AFF, "gu"),
@@ -41,30 +43,29 @@ def profile(text: Column) -> Column:
 
     Only a text that holds a character of another script is looked at word by word; all others are latin.
     """
-    found = word_scripts(text)
-    names = F.array_distinct(found)
-    counted = F.transform(names, lambda s: F.struct(F.size(F.filter(found, lambda x: x == s)).alias("n"), s.alias("script")))
-    ranked = F.transform(counted, lambda c, i: F.struct((-c["n"]).alias("n"), i.alias("i"), c["script"].alias("script")))
-    top = F.array_max(F.transform(counted, lambda c: c["n"]))
-    dominant = F.coalesce(F.get(F.filter(counted, lambda c: c["n"] == top), F.lit(0))["script"], F.lit("latin"))
-    share = F.coalesce(top / F.size(found), F.lit(1.0))
     lettered = text.rlike(r"\p{L}")
+    names_ = ("dominant_script", "dominant_share", "mixed_ratio", "n_scripts", "has_indic", "has_arabic", "has_cjk", "distribution", "script_langs", "share")
 
     def struct(*values: Column) -> Column:
-        names_ = ("dominant_script", "dominant_share", "mixed_ratio", "n_scripts", "has_indic", "has_arabic", "has_cjk", "distribution", "script_langs")
         return F.struct(*[v.alias(n) for v, n in zip(values, names_, strict=True)])
 
-    mixed = struct(
-        dominant,
-        F.round(share, 3),
-        F.round(1 - share, 3),
-        F.size(names),
-        *[F.arrays_overlap(names, F.array(*map(F.lit, family))) for family in (INDIC, ARABIC, CJK)],
-        F.map_from_entries(F.transform(counted, lambda c: F.struct(c["script"], F.round(c["n"] / F.size(found), 3)))),
-        F.transform(F.array_sort(F.filter(ranked, lambda c: -c["n"] / F.size(found) >= RARE)), lambda c: language(c["script"])),
-    )
+    def counted(found: Column) -> Column:
+        each = F.transform(F.array_distinct(found), lambda s, i: F.struct((-F.size(F.filter(found, lambda x: x == s))).alias("n"), i.alias("i"), s.alias("script")))
+        return F.struct(F.array_sort(each).alias("by"), F.size(found).alias("all"))
+
+    def described(c: Column) -> Column:
+        """Of the scripts, most frequent first, and of all words that have letters."""
+        by, share_of = c["by"], lambda x: -x["n"] / c["all"]
+        names, top = F.transform(by, lambda x: x["script"]), F.get(by, F.lit(0))
+        share = F.coalesce(share_of(top), F.lit(1.0))
+        return struct(
+            F.coalesce(top["script"], F.lit("latin")), F.round(share, 3), F.round(1 - share, 3), F.size(names), *[F.arrays_overlap(names, F.array(*map(F.lit, family))) for family in (INDIC, ARABIC, CJK)],
+            F.map_from_entries(F.transform(by, lambda x: F.struct(x["script"], F.round(share_of(x), 3)))), F.transform(F.filter(by, lambda x: share_of(x) >= RARE), lambda x: language(x["script"])), share,
+        )
+
+    mixed = arrays.bound(arrays.bound(word_scripts(text), counted), described)
     none = F.map_from_entries(F.array().cast("array<struct<script:string,share:double>>"))
-    latin = struct(F.lit("latin"), F.lit(1.0), F.lit(0.0), lettered.cast("int"), *[F.lit(False)] * 3, F.when(lettered, F.create_map(F.lit("latin"), F.lit(1.0))).otherwise(none), F.when(lettered, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>")))
+    latin = struct(F.lit("latin"), F.lit(1.0), F.lit(0.0), lettered.cast("int"), *[F.lit(False)] * 3, F.when(lettered, F.create_map(F.lit("latin"), F.lit(1.0))).otherwise(none), F.when(lettered, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>")), F.lit(1.0))
     return F.when(text.rlike(f"[{NON_LATIN}]"), mixed).otherwise(latin)
 
 
@@ -80,7 +81,7 @@ def languages(p: Column, latin: Column | None = None) -> Column:
     own = language(p["dominant_script"])
     primary = own if latin is None else F.when(alone, F.coalesce(latin, own)).otherwise(own)
     english = alone & primary.isin("en", "en-gb", "en-us")
-    sure = F.least(p["dominant_share"] * SURE, F.lit(1.0))
+    sure = F.least(p["share"] * SURE, F.lit(1.0))
     return F.struct(primary.alias("primary_lang"), english.alias("is_english"), (p["n_scripts"] > 1).alias("is_multilingual"), p["script_langs"].alias("script_langs"), F.round(sure, 3).alias("confidence"))
 
 

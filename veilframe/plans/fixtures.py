@@ -31,6 +31,17 @@ def _literal(text: str) -> str:
 #: The same relation; letters beyond ASCII are written z, which is a word's letter to the SQL engine's patterns too.
 CORPUS_SQL = "corpus AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g') AS text FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, {_literal(t)})" for i, t in enumerate(TEXTS)) + ") v(doc_id, text)))"
 
+#: Words of other scripts, put before documents' texts.
+WORDS = ("नमस्ते ", "வணக்கம் ", "مرحبا ", "你好 ", "Привет ", "שלום ", "안녕 ")
+_SPOKEN = "concat(repeat(CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS)) + " ELSE '' END, CAST(doc_id % 5 * doc_id % 400 AS INT)), text)"
+SPOKEN_SQL = f"spoken AS (SELECT doc_id, {_SPOKEN} AS text FROM documents WHERE text IS NOT NULL)"
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents after none, some or many words of one of seven scripts."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").selectExpr("doc_id", f"{_SPOKEN} AS text")
+
+
 # Columns of matches as SQL that both engines read.
 _MATCHES = {
     "doc_id": "user_id",

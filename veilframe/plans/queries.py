@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import offsets, registry, scripts
+from ..functions import registry, scripts
 from ..functions import text as T
 from ..operators import analytics, content, postprocess, redact, resolve, scan, validate
+from ..sources import files as file_redaction
 from ..sources import ingestion, readers, sinks
 from . import detect
 from . import fixtures as X
@@ -247,9 +248,12 @@ def entity_groups(spark: SparkSession, d: str) -> DataFrame:
     return analytics.groups(X.entities(spark, d))
 
 
-@query(f"WITH {X.ENTITIES_SQL} SELECT doc_id, bool_or(pii_type = 'aadhaar') AS contains_government_id, false AS contains_medical_data, false AS contains_financial_data FROM entities GROUP BY doc_id")
+_HINTED = "CASE ord % 6 WHEN 0 THEN 'passport' WHEN 1 THEN 'diagnosis' WHEN 2 THEN 'upi' WHEN 3 THEN 'blood_group' ELSE pii_type END"
+
+
+@query(f"WITH {X.ENTITIES_SQL}, t AS (SELECT doc_id, ord, {_HINTED} AS pii_type FROM entities) SELECT doc_id, bool_or(pii_type IN {analytics.HINTS['contains_government_id']}) AS contains_government_id, bool_or(pii_type IN {analytics.HINTS['contains_medical_data']}) AS contains_medical_data, bool_or(pii_type IN {analytics.HINTS['contains_financial_data']}) AS contains_financial_data FROM t GROUP BY doc_id")
 def document_hints(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.hints(X.entities(spark, d))
+    return analytics.hints(X.entities(spark, d).withColumn("pii_type", F.expr(_HINTED)))
 
 
 @query("""WITH a AS (SELECT c_nationkey AS doc_id, c_custkey AS ord, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' Road 12, Mumbai,' ELSE c_mktsegment || ' road  12, mumbai 40000' || CAST(c_nationkey % 10 AS VARCHAR) || ' Delhi' END AS value FROM customer),
@@ -363,10 +367,17 @@ def normalise_text(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.normalise(F.col("text")).alias("text"))
 
 
-@query("SELECT lang, count(*) AS n, 'latin' AS dominant_script, false AS has_indic FROM documents GROUP BY lang")
+_SCRIPT_SQL = "CASE WHEN letter = '' THEN NULL " + " ".join(f"WHEN regexp_matches(letter, '[\\x{{{lo:X}}}-\\x{{{hi:X}}}]') THEN '{name}'" for name, lo, hi, _ in scripts.SCRIPTS) + " ELSE 'latin' END"
+_LANG_SQL = "CASE dominant_script " + " ".join(f"WHEN '{name}' THEN '{lang}'" for name, _, _, lang in scripts.SCRIPTS) + " ELSE 'en' END"
+
+
+@query(f"""WITH {X.SPOKEN_SQL}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS nr FROM spoken), l AS (SELECT doc_id, nr, regexp_extract(word, '\\p{{L}}') AS letter FROM w), k AS (SELECT doc_id, nr, {_SCRIPT_SQL} AS script FROM l WHERE letter <> ''),
+c AS (SELECT doc_id, script, count(*) AS n, min(nr) AS nr FROM k GROUP BY doc_id, script), t AS (SELECT doc_id, arg_max(script, (n, -nr)) AS dominant_script, max(n) / sum(n)::DOUBLE AS share, count(*) AS n_scripts, bool_or(script IN {scripts.INDIC}) AS has_indic, bool_or(script IN {scripts.ARABIC}) AS has_arabic, bool_or(script IN {scripts.CJK}) AS has_cjk FROM c GROUP BY doc_id)
+SELECT doc_id, dominant_script, CAST(round(1 - share, 3) AS DOUBLE) AS mixed_ratio, CAST(n_scripts AS INT) AS n_scripts, has_indic, has_arabic, has_cjk, {_LANG_SQL} AS primary_lang, dominant_script = 'latin' AND CAST(round(1 - share, 3) AS DOUBLE) < 0.15 AS is_english FROM t""")
 def script_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = docs(spark, d).select("lang", scripts.profile(F.col("text")).alias("p"))
-    return p.groupBy("lang", F.col("p.dominant_script").alias("dominant_script"), F.col("p.has_indic").alias("has_indic")).agg(F.count("*").alias("n"))
+    """Of all documents, each with some words of another script put before it, as many as its id says."""
+    rows = X.spoken(spark, d).withColumn("p", scripts.profile(F.col("text"))).withColumn("l", scripts.languages(F.col("p")))
+    return rows.where("p.n_scripts > 0").select("doc_id", "p.dominant_script", "p.mixed_ratio", "p.n_scripts", "p.has_indic", "p.has_arabic", "p.has_cjk", "l.primary_lang", "l.is_english")
 
 
 @query("SELECT CASE WHEN len(regexp_extract_all(text, '\\S+')) = 0 THEN 'none' WHEN len(regexp_extract_all(text, '\\S+')) < 6 THEN 'patterns' ELSE 'latin' END AS engine, count(*) AS n FROM documents GROUP BY ALL")
@@ -402,10 +413,17 @@ def column_scan(spark: SparkSession, d: str) -> DataFrame:
     return analytics.column_rollup(found.withColumn("doc_id", F.col("c_custkey"))).select("field", "primary_type", "n")
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '\\.[^./]+$')) AS extension, 'full' AS chunking FROM pages")
+_NAMES = "CASE page_id % 8 WHEN 0 THEN '/a/scan.PDF' WHEN 1 THEN '/a/rows.csv' WHEN 2 THEN '/a/patient_letter.docx' WHEN 3 THEN '/a/photo.jpeg' WHEN 4 THEN '/a/.hidden.pdf' WHEN 5 THEN '/a/deck.pptx' WHEN 6 THEN '/__MACOSX/x.csv' ELSE url END"
+
+
+@query(f"""WITH f AS (SELECT page_id, {_NAMES} AS path, length(html) * (CASE WHEN page_id % 16 = 1 THEN 100000000 ELSE 1 END) AS size FROM pages), e AS (SELECT *, lower(regexp_extract(path, '[.][^./]+$')) AS extension FROM f),
+k AS (SELECT *, page_id % 8 IN (1, 6) AS is_structured, page_id % 8 = 3 AS needs_ocr, page_id % 8 = 2 OR regexp_matches(lower(regexp_extract(path, '[^/]*$')), '\\b(patient|hospital|clinic|medical|health|doctor|glucose)\\b') AND page_id % 8 <> 2 AS medical FROM e)
+SELECT page_id, extension, CASE WHEN extension = '.pdf' THEN 'page' WHEN extension = '.csv' THEN 'row' WHEN extension = '.docx' THEN 'paragraph' ELSE 'full' END AS chunking, is_structured, needs_ocr,
+CASE WHEN page_id % 8 IN (4, 6) THEN 'hidden file' WHEN size > 104857600 THEN 'too large' WHEN extension IN ('.pdf', '.csv', '.docx', '.jpeg') THEN NULL ELSE 'No parser available' END AS error FROM k""")
 def ingestion_plan(spark: SparkSession, d: str) -> DataFrame:
-    files = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("url").alias("path"), F.lit("").alias("snippet"), F.length("html").alias("size"))
-    return ingestion.plan(files).select("page_id", "extension", "chunking")
+    """Pages under names of files of all kinds, every sixteenth far too large."""
+    files = spark.read.parquet(f"{d}/pages.parquet").selectExpr("page_id", f"{_NAMES} AS path", "'' AS snippet", "length(html) * CASE WHEN page_id % 16 = 1 THEN 100000000L ELSE 1L END AS size")
+    return ingestion.plan(files).select("page_id", "extension", "chunking", "is_structured", "needs_ocr", "error")
 
 
 @query()
@@ -414,7 +432,11 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return content.chunks(docs(spark, d)).select("doc_id", "chunk_id", "start", F.length("text").alias("n"))
 
 
-@query()
+_DUMPED = "'CREATE TABLE t' || c_custkey || ' (id int, price decimal(3, 1), PRIMARY KEY (id))'"
+
+
+@query(f"""SELECT '/x/' || c_custkey || '.sql' AS path, 'full_sql' AS part, ' ' || chr(10) || {_DUMPED} || ';' AS content, CAST(NULL AS VARCHAR) AS error FROM customer
+UNION ALL SELECT '/x/' || c_custkey || '.sql', 'table:t' || c_custkey || ':id,price', {_DUMPED}, NULL FROM customer""")
 def sql_dump_items(spark: SparkSession, d: str) -> DataFrame:
     """Tables and columns of SQL definitions made from customers."""
     c = spark.read.parquet(f"{d}/customer.parquet")
@@ -451,10 +473,59 @@ def redact_cells(spark: SparkSession, d: str) -> DataFrame:
     return redact.redact_cells(rows, "c_custkey", ("note",), ("email",))
 
 
-@query("SELECT doc_id, 0 AS s, 3 AS e, length(text) - 1 AS n FROM documents")
+_MAIL = "[A-Za-z0-9._%+\\-]+\\x{200B}@\\x{200B}[A-Za-z0-9\\-]+(?:[.][A-Za-z0-9\\-]+)*[.][A-Za-z]{2,}"
+
+
+@query(f"WITH z AS (SELECT doc_id, replace(text, '@', chr(8203) || '@' || chr(8203)) AS text FROM documents) SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS said FROM z")
 def original_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The first two characters of a normal form whose original has a zero-width space between them."""
-    rows = docs(spark, d).select("doc_id", F.concat(F.lit("a\u200bb"), F.substr("text", F.lit(3))).alias("text"))
-    x = offsets.original_span(F.lit(0), F.lit(2), F.col("origin"))
-    plain = F.length(F.regexp_replace("text", "\u200b", "")) - 1
-    return rows.join(offsets.normalised(rows), "doc_id").select("doc_id", x["start"].alias("s"), x["end"].alias("e"), plain.cast("long").alias("n"))
+    """What stands in the texts as given where their normal forms have e-mail addresses; the texts have zero-width spaces."""
+    rows = docs(spark, d).select("doc_id", F.replace("text", F.lit("@"), F.lit("\u200b@\u200b")).alias("text"))
+    found = scan.original_scan(rows, types=["email"]).select("doc_id", "start", "end")
+    return found.join(rows, "doc_id").select("doc_id", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("said"))
+
+
+@query(f"WITH {X.ENTITIES_SQL}, v AS (SELECT DISTINCT value, pii_type, regexp_replace(value, '[^0-9]', '', 'g') AS number FROM entities), r AS (SELECT *, CASE WHEN length(number) > 4 THEN repeat('X', length(number) - 4) || right(number, 4) ELSE repeat('X', length(value)) END AS partial, "
+    "CASE pii_type WHEN 'name' THEN '[PERSON_NAME]' WHEN 'phone' THEN '[PHONE_NUMBER]' WHEN 'aadhaar' THEN '[AADHAAR_NUMBER]' WHEN 'email' THEN '[EMAIL]' ELSE '[ORGANIZATION]' END AS contextual FROM v) "
+    "SELECT value, pii_type, partial, contextual, CASE WHEN pii_type IN ('phone', 'aadhaar') THEN partial ELSE contextual END AS mask FROM r")
+def replacement_modes(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.entities(spark, d).select("value", "pii_type").distinct()
+    return rows.select("value", "pii_type", *[redact.replacement(F.col("value"), F.col("pii_type"), m).alias(m) for m in ("partial", "contextual", "mask")])
+
+
+_MASKED = """CASE c_custkey % 8 WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 THEN 'email' WHEN 3 THEN 'phone' WHEN 4 THEN 'credit_card' WHEN 5 THEN 'voter_id' WHEN 6 THEN 'dob' ELSE 'city' END AS pii_type,
+CASE c_custkey % 8 WHEN 0 THEN 'ABCDE' || N4 || 'F' WHEN 1 THEN N4 || ' 5678 ' || N4 WHEN 2 THEN 'user' || N4 || '@mail.example' WHEN 3 THEN '+91 98765 4' || N4 WHEN 4 THEN '4111-1111 1111 ' || N4 WHEN 5 THEN 'ABC123' || N4 WHEN 6 THEN '01/02/' || N4 ELSE 'Town ' || N4 END AS value"""
+_MASKED = _MASKED.replace("N4", "lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')")
+
+
+@query(f"WITH v AS (SELECT {_MASKED.replace('STRING', 'VARCHAR')}, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS n FROM customer) SELECT pii_type, value, CASE pii_type WHEN 'pan' THEN 'ABCDE****F' WHEN 'aadhaar' THEN n || ' **** ' || n WHEN 'email' THEN 'us***@mail.example' WHEN 'phone' THEN '98******' || right(n, 2) WHEN 'credit_card' THEN '4111 **** **** ' || n WHEN 'voter_id' THEN 'ABC****' || right(n, 3) WHEN 'dob' THEN '**/**/' || n ELSE 'To***' END AS masked FROM v")
+def mask_values(spark: SparkSession, d: str) -> DataFrame:
+    """All rules of masking, over values made from customers."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr(*_MASKED.split(",\n"))
+    return rows.select("pii_type", "value", T.mask(F.col("pii_type"), F.col("value")).alias("masked"))
+
+
+@query(f"""WITH {X.ENTITIES_SQL}, n AS (SELECT doc_id, count(*) AS n_entities, count(DISTINCT value) AS n_redactions, count(DISTINCT pii_type) AS n_groups, max(confidence) AS best, arg_min(value, ord) AS first_value FROM entities GROUP BY doc_id)
+SELECT doc_id, coalesce(n_entities, 0) AS n_entities, coalesce(n_redactions, 0) AS n_redactions, coalesce(n_groups, 0) AS n_groups, first_value, coalesce(length(text), 0) AS char_count FROM documents LEFT JOIN n USING (doc_id)""")
+def full_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and places of the whole JSON answers of all documents, read back from the JSON."""
+    said = sinks.full_responses(X.entities(spark, d), docs(spark, d)).withColumn("x", F.from_json("response", "entities array<struct<value: string>>, entity_groups map<string, struct<value: string>>, redactions struct<count: long>, ocr struct<quality: struct<char_count: long>>"))
+    return said.select("doc_id", F.size("x.entities").cast("long").alias("n_entities"), F.col("x.redactions.count").alias("n_redactions"), F.size("x.entity_groups").cast("long").alias("n_groups"), F.get("x.entities", F.lit(0))["value"].alias("first_value"), F.col("x.ocr.quality.char_count").alias("char_count"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS doc_id, 'user' || c_custkey || '@mail.example' AS value, c_custkey % 3 AS k FROM customer)
+SELECT doc_id, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n_answers, CASE k WHEN 1 THEN 1 ELSE 0 END AS hallucinations, CASE k WHEN 1 THEN 1 ELSE 0 END AS format_errors, CASE k WHEN 2 THEN 1 ELSE 0 END AS missing FROM a""")
+def answer_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A model that gives an address right, or with a malformed number that the text doesn't hold, or not at all."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS doc_id", "concat('write to user', c_custkey, '@mail.example') AS text")
+    right = rows.where("doc_id % 3 < 2").selectExpr("doc_id", "'email' AS pii_type", "concat('User', doc_id, '@mail.example') AS value")
+    wrong = rows.where("doc_id % 3 = 1").selectExpr("doc_id", "'phone' AS pii_type", "'98765' AS value")
+    return validate.answer_scores(right.unionByName(wrong), scan.scan(rows, types=["email"]), rows)
+
+
+@query("SELECT c_custkey, 'csv' AS format, 'name,mail' || chr(10) || c_name || ',[EMAIL]' || chr(10) AS said, CAST(NULL AS VARCHAR) AS error FROM customer")
+def redacted_files(spark: SparkSession, d: str) -> DataFrame:
+    """CSV files made of customers, redacted as files and read back from what is given out."""
+    text = F.concat(F.lit("name,mail\n"), "c_name", F.lit(",user"), F.col("c_custkey").cast("string"), F.lit("@mail.example\n"))
+    given = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("/x/"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    done = file_redaction.redacted_files(given, ("email",))
+    return done.select(F.regexp_extract("path", "([0-9]+)[.]csv", 1).cast("long").alias("c_custkey"), "format", F.decode(F.unbase64("data_base64"), "UTF-8").alias("said"), "error")
