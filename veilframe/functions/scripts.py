@@ -26,11 +26,14 @@ RARE, NOT_ENGLISH, SURE = 0.02, 0.15, 1.5
 
 def script_of(word: Column) -> Column:
     """The script of a word's first letter, null for a word without letters."""
-    letter = F.regexp_extract(word, r"\p{L}", 0)
-    out = F.when(letter == "", F.lit(None).cast("string"))
-    for name, lo, hi, _ in SCRIPTS:
-        out = out.when(letter.rlike(f"^[\\x{{{lo:X}}}-\\x{{{hi:X}}}]"), F.lit(name))
-    return out.otherwise(F.lit("latin"))
+
+    def of(code: Column) -> Column:
+        out = F.when(code == 0, F.lit(None).cast("string"))
+        for name, lo, hi, _ in SCRIPTS:
+            out = out.when(code.between(lo, hi), F.lit(name))
+        return out.otherwise(F.lit("latin"))
+
+    return arrays.bound(F.ascii(F.regexp_extract(word, r"\p{L}", 0)), of)
 
 
 def word_scripts(text: Column) -> Column:
