@@ -92,3 +92,19 @@ def test_field_scan(spark):
     df = spark.createDataFrame([(1, "a@b.com", "x", None), (2, "none", "10.0.0.1", 5)], "id long, mail string, host string, n int")
     got = sorted((r.id, r.field, r.pii_type, r.value) for r in S.field_scan(df, "id", types=["email", "ip_address"]).collect())
     assert got == [(1, "mail", "email", "a@b.com"), (2, "host", "ip_address", "10.0.0.1")]
+
+
+def test_addresses_after_sentences(spark):
+    """A word, a full stop and a blank belong to the address that follows, as the registry's pattern has it."""
+    rng = random.Random(11)
+    texts = ["für. Enach. un.77@mail.example x", "der. he.60@mail.example", "a . . b@c.de", "a. . .b@c.de", "a@b.co. 1@c.de", "x .. y@c.de"]
+    texts += ["".join(rng.choices("a. ", k=rng.randint(1, 12))) + "@b.co" + "".join(rng.choices(["", " ", ".", "1", ". 1", "a. . b"], k=2)) + "".join(rng.choices("a. ", k=rng.randint(0, 6))) + rng.choice(["@c.de", ""]) for _ in range(2000)]
+    got = scanned(spark, texts, types=["email"])
+    pattern = registry.BY_ID["email"].pattern
+    for i, text in enumerate(texts):
+        assert [(r.start, r.end) for r in got[i]] == [m.span() for m in re.finditer(pattern, text)], text
+
+
+@pytest.mark.parametrize("text", ["a. " * 100_000 + "@", ". " * 100_000 + "@", "a. . . . " * 30_000 + "@", "a .. .. " * 30_000 + "@"])
+def test_long_chains_of_full_stops_end(spark, text):
+    scanned(spark, [text], types=["email"])

@@ -78,9 +78,17 @@ def redact_by_span(docs: DataFrame, entities: DataFrame, mode: str = "contextual
 
     For spans that come from elsewhere, as from models; redact_texts finds and replaces in one pass.
     """
-    spans = merged_spans(entities).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pii_type"))).alias("_s"))
-    rows = docs.select("doc_id", F.col(text).alias("_t")).join(spans, "doc_id", "left")
-    return rows.select("doc_id", replaced_in(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.coalesce(F.size("_s"), F.lit(0)).alias("n_spans"))
+    spans = entities.where("start >= 0 and end > start").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "ord", "pii_type")).alias("_m"))
+    rows = docs.select("doc_id", F.col(text).alias("_t")).join(spans, "doc_id", "left").withColumn("_s", merged(proper(F.col("_t"), F.coalesce("_m", F.array().cast("array<struct<start:int,end:int,ord:int,pii_type:string>>")))))
+    return rows.select("doc_id", replaced_in(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
+
+
+def proper(t: Column, found: Column) -> Column:
+    """array<struct<start, end, ord, pii_type>> of array<MATCH>: what is to be replaced in t. The pattern of e-mail addresses
+    takes a word before them that ends a sentence for a part of them; such words stay."""
+    address = lambda m: T.address(F.substr(t, m["start"] + 1, m["end"] - m["start"]))
+    start = lambda m: F.when(m["pii_type"] == "email", m["end"] - F.length(address(m))).otherwise(m["start"])
+    return F.transform(found, lambda m: F.struct(start(m).alias("start"), m["end"].alias("end"), m["ord"].alias("ord"), m["pii_type"].alias("pii_type")))
 
 
 def merged(found: Column) -> Column:
@@ -108,20 +116,29 @@ def redact_texts(docs: DataFrame, types: tuple[str, ...] | None = None, mode: st
     """(keep, redacted, n_spans): every match of the patterns replaced where it stands, each row on its own: one read of
     the text, no shuffle, no join. All matches count, also those that resolution would fold into one entity."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_t")).withColumn("_l", F.lower("_t"))
-    rows = rows.withColumn("_m", scan.found_in(F.coalesce("_t", F.lit("")), F.coalesce("_l", F.lit("")), types, use_nlp=use_nlp)).withColumn("_s", merged(F.col("_m")))
+    rows = rows.withColumn("_m", scan.found_in(F.coalesce("_t", F.lit("")), F.coalesce("_l", F.lit("")), types, use_nlp=use_nlp)).withColumn("_s", merged(proper(F.coalesce("_t", F.lit("")), F.col("_m"))))
     return rows.select(*keep, replaced_in(F.col("_t"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
 
 
 def redact_originals(docs: DataFrame, types: tuple[str, ...] | None = None, mode: str = "contextual", text: str = "text", use_nlp: bool = True) -> DataFrame:
     """(doc_id, redacted, n_spans): the text as it was given, with every match in its whole normal form replaced."""
     rows = offsets.normalised(docs, text).withColumn("_l", F.lower("normalised"))
-    rows = rows.withColumn("_s", merged(scan.original_found(F.col("normalised"), F.col("_l"), F.col("origin"), types, use_nlp)))
+    rows = rows.withColumn("_s", merged(proper(F.col("original"), scan.original_found(F.col("normalised"), F.col("_l"), F.col("origin"), types, use_nlp))))
     return rows.select("doc_id", replaced_in(F.col("original"), F.col("_s"), mode).alias("redacted"), F.size("_s").alias("n_spans"))
 
 
 def verify(redacted: DataFrame, entities: DataFrame) -> DataFrame:
-    """(doc_id, pii_type, value): what can still be read in (doc_id, redacted): as it is, in plain form, or by 6 digits."""
+    """(doc_id, pii_type, value): what can still be read in (doc_id, redacted): as it is, in plain form, or by 6 digits.
+
+    A value of an e-mail address may begin with the end of a sentence, which stands apart in the text: what is looked for,
+    and given out, is then the longest of its ends that begins after a full stop and can be read.
+    """
     rows = entities.select("doc_id", "pii_type", "value").join(redacted.select("doc_id", "redacted"), "doc_id")
+    local = F.split(F.substring_index("value", "@", 1), r"\.", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(local)), lambda i: F.array_join(F.slice(local, i, F.size(local)), "."))
+    after = F.concat(F.lit("@"), F.substring_index("value", "@", -1))
+    read = F.get(F.filter(F.transform(ends, lambda x: F.concat(x, after)), lambda x: ~x.startswith("@") & F.col("redacted").contains(x)), F.lit(0))
+    rows = rows.withColumn("value", F.when((F.col("pii_type") == "email") & F.col("value").contains("@"), F.coalesce(read, "value")).otherwise(F.col("value")))
     number, plain = T.digits(F.col("value")), T.plain_key(F.col("value"))
     seen = F.col("redacted").contains(F.col("value")) | ((plain != "") & T.plain_key(F.col("redacted")).contains(plain)) | ((F.length(number) >= 6) & T.digits(F.col("redacted")).contains(number))
     return rows.where(seen).drop("redacted")

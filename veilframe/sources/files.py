@@ -157,7 +157,7 @@ def replacements(parts: DataFrame, types: Sequence[str] | None = None, mode: str
     """(path, pairs, error) of DOCUMENT rows: each value as the file has it, with what replaces it; an error of any part."""
     keyed = parts.select(F.struct("path", "error").alias("doc_id"), "content")
     rows = offsets.normalised(keyed, "content").withColumn("_l", F.lower("normalised"))
-    found = redact.merged(scan.original_found(F.col("normalised"), F.col("_l"), F.col("origin"), types, use_nlp=False))
+    found = redact.merged(redact.proper(F.col("original"), scan.original_found(F.col("normalised"), F.col("_l"), F.col("origin"), types, use_nlp=False)))
     said = lambda s: F.substr("original", s["start"] + 1, s["end"] - s["start"])
     pairs = F.transform(found, lambda s: F.struct(said(s).alias("value"), redact.replacement(said(s), s["pii_type"], mode).alias("replacement")))
     every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs"))))
