@@ -29,3 +29,9 @@ def test_redaction_is_of_the_address(spark):
     assert redact.verify(done, e).collect() == []
     plain = docs.select("doc_id", F.col("text").alias("redacted"))
     assert sorted((r.doc_id, r.value) for r in redact.verify(plain, e.where("doc_id < 3")).collect()) == [(1, "le.93@mail.example"), (1, "le.93@mail.example"), (2, "c@mail.example")]
+
+
+def test_distribution_by_source(spark):
+    docs = documents(spark)
+    found = detect.detect(docs, types=("email",)).join(docs.select("doc_id", "source"), "doc_id")
+    assert sorted(tuple(r) for r in analytics.distribution(found, "source").collect()) == [("eu", "EMAIL", 1), ("us", "EMAIL", 3)]
