@@ -35,3 +35,8 @@ def test_distribution_by_source(spark):
     docs = documents(spark)
     found = detect.detect(docs, types=("email",)).join(docs.select("doc_id", "source"), "doc_id")
     assert sorted(tuple(r) for r in analytics.distribution(found, "source").collect()) == [("eu", "EMAIL", 1), ("us", "EMAIL", 3)]
+
+
+def test_risk_by_language(spark):
+    got = {r.lang: (r.total_entities, r.risk_score) for r in detect.risk_report(documents(spark), ["lang"], types=("email",)).collect()}
+    assert got == {"en": (2, 0.3), "fr": (2, 0.3)}
