@@ -102,6 +102,14 @@ def test_scores_of_answers(spark):
     assert got == {1: (3, 1, 1, 1), 3: (1, 1, 1, 0)}
 
 
+def test_a_short_number_is_no_part_of_a_longer_one(spark):
+    docs = spark.createDataFrame([(1, "write to user298765@mail.example"), (2, "call 98765 now"), (3, "987650"), (4, "no 12-\n3."), (5, "98765, 298765")], "doc_id long, text string")
+    answers = docs.selectExpr("doc_id", "'phone' AS pii_type", "CASE doc_id WHEN 4 THEN '12- 3' ELSE '98765' END AS value").union(spark.createDataFrame([(1, "phone", "298765"), (2, "name", "a\\E9")], "doc_id long, pii_type string, value string"))
+    none = spark.createDataFrame([], "doc_id long, pii_type string, value string")
+    got = {r.doc_id: (r.n_answers, r.hallucinations) for r in validate.answer_scores(answers, none, docs).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (1, 1), 4: (1, 0), 5: (1, 0)}
+
+
 def test_languages(spark):
     texts = ["plain words", "नमस्ते दुनिया hello", "", "12 34", "привет мир"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", scripts.languages(scripts.profile(F.col("text"))).alias("x"), scripts.languages(scripts.profile(F.col("text")), F.lit("fr"))["primary_lang"].alias("told"))

@@ -138,6 +138,16 @@ def well_formed(pii_type: Column, value: Column) -> Column:
     )
 
 
+def stated(text: Column, value: Column) -> Column:
+    """Whether a text holds an answer's value. A number of under six digits must stand by itself: within a longer number its
+    digits are there by chance. From six digits on, numbers are compared by digits alone."""
+    number, low = T.digits(value), T.stripped(T.one_space(value))
+    said = F.concat(F.lit(r"\Q"), F.replace(low, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    whole = F.concat(F.when(low.rlike(r"^\p{Nd}"), r"(?<!\p{Nd})").otherwise(""), said, F.when(low.rlike(r"\p{Nd}\z"), r"(?!\p{Nd})").otherwise(""))
+    short = F.length(number).between(1, 5) & ~value.rlike(r"\p{L}")
+    return resolve.holds(text, value) & F.when(short, F.regexp(T.one_space(text), whole)).otherwise(True)
+
+
 def answer_scores(answers: DataFrame, entities: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_answers, hallucinations, format_errors, missing) of a model's answers (doc_id, pii_type, value): those that
     their text doesn't hold, those without their type's form, and values that patterns find and the model did not give.
@@ -147,7 +157,7 @@ def answer_scores(answers: DataFrame, entities: DataFrame, docs: DataFrame, text
     rows = answers.where(F.trim("value") != "").join(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")), "doc_id")
     said = rows.groupBy("doc_id").agg(
         F.count("*").alias("n_answers"),
-        F.count_if(~resolve.holds(F.col("_t"), F.col("value"))).alias("hallucinations"),
+        F.count_if(~stated(F.col("_t"), F.col("value"))).alias("hallucinations"),
         F.count_if(F.col("pii_type").isin(*STRUCTURED) & ~well_formed(F.col("pii_type"), F.col("value"))).alias("format_errors"),
     )
     side = lambda df: df.where(F.col("pii_type").isin(*STRUCTURED)).select("doc_id", "pii_type", F.lower(F.regexp_replace("value", r"(?U)\W", "")).alias("_k")).distinct()
