@@ -3,6 +3,7 @@ import random
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from veilframe.functions import scripts
@@ -278,3 +279,12 @@ def test_sentences_against_the_rule():
             at += n - (overlap if k + 1 < len(got) else 0)
             at = max(at, 0)
         assert at == len(parts)
+
+
+def test_rows_go_out_in_batches():
+    """A batch for each row made the time that of the batches; a batch is bounded by rows and by characters."""
+    schema = pa.schema([("a", pa.string()), ("n", pa.int32())])
+    many = list(readers.batched(((str(i), i) for i in range(readers.BATCH_ROWS * 2 + 5)), schema))
+    assert [b.num_rows for b in many] == [readers.BATCH_ROWS, readers.BATCH_ROWS, 5] and many[2].to_pylist()[-1] == {"a": str(readers.BATCH_ROWS * 2 + 4), "n": readers.BATCH_ROWS * 2 + 4}
+    large = list(readers.batched((("x" * readers.BATCH_CHARS, None) for _ in range(3)), schema))
+    assert [b.num_rows for b in large] == [1, 1, 1] and list(readers.batched(iter(()), schema)) == []
