@@ -168,14 +168,14 @@ def redacted_files(files: DataFrame, types: Sequence[str] | None = None, mode: s
     """FILE rows of files (path, content), as Spark's binaryFile source gives them."""
     known = replacements(readers.documents(files), types, mode)
     rewriters, items = dict(REWRITERS), dict(readers.ITEMS)
-    names = [f.split()[0] for f in FILE.split(", ")]
+    schema = pa.schema([(f.split()[0], pa.int32() if f.endswith(" int") else pa.string()) for f in FILE.split(", ")])
+
+    def row(path: str, raw: bytes, pairs: list[dict] | None, error: str | None) -> tuple:
+        done = rewritten(path, raw, {p["value"]: p["replacement"] for p in pairs or () if p["value"]}, rewriters, items)
+        return (*done[:4], None, done[5], error) if error else done
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, raw, pairs, error in zip(*batch.columns, strict=True):
-                row = rewritten(path.as_py(), raw.as_py() or b"", {p["value"]: p["replacement"] for p in pairs.as_py() or () if p["value"]}, rewriters, items)
-                if error.as_py():
-                    row = (*row[:4], None, row[5], error.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if n == "n_values" else pa.string()) for n, x in zip(names, row, strict=True)], names)
+        given = (tuple(x.as_py() for x in given) for batch in batches for given in zip(*batch.columns, strict=True))
+        return readers.batched((row(path, raw or b"", pairs, error) for path, raw, pairs, error in given), schema)
 
     return files.select("path", "content").join(known, "path", "left").select("path", "content", "pairs", "error").mapInArrow(run, FILE)
