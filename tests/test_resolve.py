@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -104,6 +105,13 @@ def test_risk_levels(spark):
     assert analytics.risk(analytics.distribution(spark.createDataFrame([], ENTITY))).first().risk_score == 0.0
 
 
+def test_risk_between_two_figures_goes_up_in_any_order(spark):
+    types = (("EMAIL", 6), ("IP_ADDRESS", 7), ("CREDIT_CARD", 41), ("PHONE", 26))  # 50.5 / 80 = 0.63125
+    rows = [(i, kind, n) for i, order in enumerate(itertools.permutations(types)) for kind, n in order]
+    got = analytics.risk(spark.createDataFrame(rows, "doc_id long, pii_type string, n long").coalesce(1), "doc_id").collect()
+    assert {(r.total_entities, r.risk_score, r.risk_level) for r in got} == {(80, 0.6313, "MEDIUM")} and len(got) == 24
+
+
 def test_primary_type_takes_the_first_on_ties(spark):
     rows = [entity(1, "b", "x", order=1), entity(1, "a", "y", order=2), entity(1, "b", "z", order=3), entity(1, "a", "w", order=4)]
     assert analytics.primary_type(spark.createDataFrame(rows, ENTITY), "doc_id").first().pii_type == "b"

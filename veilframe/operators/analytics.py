@@ -46,12 +46,17 @@ def _level(score: Column, ids: Column) -> Column:
 
 
 def risk(distributed: DataFrame, *by: str) -> DataFrame:
-    """(by, total_entities, unique_types, risk_score, risk_level) of a distribution; it adds up over files."""
-    weight = postprocess.by_type(F.lower("pii_type"), RISK_WEIGHTS, OTHER_WEIGHT)
+    """(by, total_entities, unique_types, risk_score, risk_level) of a distribution; it adds up over files.
+
+    Weights are added up as whole hundredths and the mean is rounded half up, so that a score between two figures is the
+    same in whatever order its types come.
+    """
+    hundredths = postprocess.by_type(F.lower("pii_type"), {k: round(100 * w) for k, w in RISK_WEIGHTS.items()}, round(100 * OTHER_WEIGHT))
+    total, n = F.sum(hundredths * F.col("n")), F.sum("n")
     out = distributed.groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_entities"),
         F.count_distinct("pii_type").alias("unique_types"),
-        F.round(F.coalesce(F.sum(weight * F.col("n")) / F.sum("n"), F.lit(0.0)), 4).alias("risk_score"),
+        F.coalesce(F.call_function("div", total * 200 + n, n * 2) / F.lit(10000.0), F.lit(0.0)).alias("risk_score"),
         F.coalesce(F.sum(F.when(F.col("pii_type").isin(*GOVERNMENT), F.col("n"))), F.lit(0)).alias("_ids"),
     )
     return out.withColumn("risk_level", _level(F.col("risk_score"), F.col("_ids"))).drop("_ids")
